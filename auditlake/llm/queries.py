@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from auditlake.llm import quality
+from auditlake.llm import langid, quality
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op9_language_id": langid.query,
 }
 
 ORACLE: dict[str, str] = {}
