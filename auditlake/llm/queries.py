@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from auditlake.llm import langid, packing, quality
+from auditlake.llm import langid, packing, quality, rans
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_rans_blocks": rans.query,
     "op3_packing": packing.query,
     "op9_language_id": langid.query,
 }
