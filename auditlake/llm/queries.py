@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from auditlake.llm import dropout, langid, packing, quality, rans
+from auditlake.llm import dropout, langid, packing, quality, rans, resharding
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_rans_blocks": rans.query,
     "op3_packing": packing.query,
+    "op5_resharding": resharding.query,
     "op8_merge_dropout": dropout.query,
     "op9_language_id": langid.query,
 }
