@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.llm import dropout, langid, packing, quality, rans, resharding
+from auditlake.llm import dropout, langid, nearcopies, packing, quality, rans, resharding
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_resharding": resharding.query,
     "op8_merge_dropout": dropout.query,
     "op9_language_id": langid.query,
+    "op10_chosen_path_join": nearcopies.query,
 }
 
 ORACLE: dict[str, str] = {}
