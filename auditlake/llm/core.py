@@ -7,8 +7,11 @@ single documents are (a single longer document forms a slice of its own).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,20 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, unless their PYTHONPATH has it already."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_auditlake_shipped", False):
+        return
+    at = Path(tempfile.mkdtemp(prefix="auditlake-py-")) / "auditlake.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted((root / "auditlake").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(at))
+    sc._auditlake_shipped = True
+
+
 # --- Arrow -------------------------------------------------------------------
 
 
