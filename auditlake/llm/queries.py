@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from auditlake.llm import core, dropout, forest, langid, nearcopies, packing, quality, rans, repeats, resharding
+from auditlake.llm import core, dropout, forest, langid, lm, nearcopies, packing, quality, rans, repeats, resharding
 
 
 def pipeline(spark, sf_dir):
@@ -30,6 +30,7 @@ QUERIES = {
         "op3_packing": packing.query,
         "op4_fm_repeats": repeats.query,
         "op5_resharding": resharding.query,
+        "op6_attention_lm": lm.query,
         "op7_projection_forest": forest.query,
         "op8_merge_dropout": dropout.query,
         "op9_language_id": langid.query,
