@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from auditlake.llm import core
 from auditlake.llm.quality import _LOWER
@@ -252,6 +253,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: A filter of so many ids is 32 MB; more ids aren't filtered by one, and the join alone does the work.
+FILTER_IDS = 1 << 24
+
+
+def may_be_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id isn't among the wanted, by a Bloom filter of 16 bits and 4 hashes an id.
+
+    It keeps the texts of unwanted rows out of the shuffle of the join that follows.
+    """
+    n = wanted.select("doc_id").distinct().count()
+    if n > FILTER_IDS:
+        return docs
+    words = 1 << max(4, int(n * 16 / 64).bit_length())
+    bits = words * 64
+    spots = wanted.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(4)])).alias("b"))
+    got = spots.groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(b, 64) AS int))")).alias("m")).toArrow()
+    table = np.zeros(words, np.int64)
+    table[got.column("w").to_numpy()] = got.column("m").to_numpy()
+    known = table.view(np.uint64)
+
+    @arrow_udf("boolean")
+    def there(*spots: pa.Array) -> pa.Array:
+        out = None
+        for s in spots:
+            b = s.to_numpy(zero_copy_only=False)
+            hit = (known[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
+            out = hit if out is None else out & hit
+        return pa.array(out)
+
+    return docs.where(there(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(4)]))
+
+
 def verified(docs: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of pairs of representatives that the runs brought together and exact similarity confirms."""
     level = reps.select(F.explode("keys").alias("key"), "rep", "sketch")
@@ -283,8 +316,8 @@ def verified(docs: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float
     block = lambda c: F.pmod(F.xxhash64(c), blocks)
     keyed = keyed.select("a", "b", F.when(F.col("n") > 1500, F.xxhash64("near", block("a"), block("b"))).otherwise(F.pmod(F.xxhash64("near"), F.lit(n_parts)).cast("long")).alias("part"))
     keyed, _ = core.table(keyed)
-    wanted = keyed.select("part", F.col("a").alias("doc_id")).union(keyed.select("part", "b")).distinct()
-    text = docs.join(wanted, "doc_id").groupBy("part", "doc_id").agg(F.min("text").alias("text"))
+    wanted, _ = core.table(keyed.select("part", F.col("a").alias("doc_id")).union(keyed.select("part", "b")).distinct())
+    text = may_be_in(docs, wanted).join(wanted.hint("merge"), "doc_id").groupBy("part", "doc_id").agg(F.min("text").alias("text"))
     rows = text.select("part", F.lit(0).alias("kind"), F.col("doc_id").alias("one"), F.lit(None).cast("long").alias("two"), "text")
     rows = rows.unionByName(keyed.select("part", F.lit(1).alias("kind"), F.col("a").alias("one"), F.col("b").alias("two"), F.lit(None).cast("string").alias("text")))
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: exact(it, threshold), "a bigint, b bigint, jaccard double")
