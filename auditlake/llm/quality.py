@@ -1,6 +1,6 @@
 """Quality rules: gradient-boosted trees over document statistics.
 
-``stat_matrix`` computes 18 statistics of each text from its raw bytes (numpy, one Arrow
+``stat_matrix`` computes 19 statistics of each text from its raw bytes (numpy, one Arrow
 batch at a time); two boosted ensembles, one for ``labels.quality`` and one for
 ``labels.toxic``, are fitted by histogram boosting with monotonic constraints and flattened
 into numpy node arrays that score a whole batch at once.  A document is kept when
@@ -30,11 +30,11 @@ MIN_QUALITY, MAX_TOXIC = 0.4, 0.5
 
 FEATURES = [
     "log_bytes", "log_words", "mean_word", "upper_share", "digit_share", "symbol_share", "punct_share", "space_share", "high_byte_share",
-    "line_count_log", "mean_line_log", "repeat_line_share", "distinct_word_share", "top_word_share", "symbol_word_share", "upper_word_share", "repeat_bigram_share", "lexicon_share",
+    "line_count_log", "mean_line_log", "repeat_line_share", "distinct_word_share", "top_word_share", "symbol_word_share", "upper_word_share", "repeat_bigram_share", "lexicon_share", "log_lexicon_words",
 ]
 #: +1: the score may only grow with the statistic, -1: only fall.
 QUALITY_MONOTONE = {"symbol_share": -1, "symbol_word_share": -1, "upper_word_share": -1, "repeat_line_share": -1, "repeat_bigram_share": -1}
-TOXIC_MONOTONE = {"lexicon_share": 1}
+TOXIC_MONOTONE = {"lexicon_share": 1, "log_lexicon_words": 1}
 
 _CLASS = np.zeros((6, 256), np.uint8)
 _CLASS[0, 65:91] = 1  # upper
@@ -105,11 +105,19 @@ def stat_matrix(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
         distinct, items, _ = _share_repeated(pairs, core.row_of(p_first), n)
         x[:, 16] = 1 - distinct / np.maximum(items, 1)
         if len(lexicon) and len(rows):
-            bare = core.span_hashes(low, starts, _bare_ends(buf, starts, ends))
-            x[:, 17] = np.bincount(rows, np.isin(bare, lexicon), minlength=n) / some
+            hits = np.bincount(rows, np.isin(_lexical(low, starts, ends), lexicon).any(0), minlength=n)
+            x[:, 17], x[:, 18] = hits / some, np.log1p(hits)
     return out
 
 
+def _lexical(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(2, words): hash of each word without a trailing mark, and of its first 4 bytes if it is longer (else the word's again)."""
+    ends = _bare_ends(low, starts, ends)
+    word = core.span_hashes(low, starts, ends)
+    head = core.span_hashes(low, starts, np.minimum(ends, starts + 4)) ^ np.uint64(0x4F1BBCDCBFA53E0B)
+    return np.stack([word, np.where(ends - starts > 4, head, word)])
+
+
 def _bare_ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Word ends without one trailing punctuation byte."""
     cut = (_CLASS[3][buf[ends - 1]] > 0) & (ends - starts > 1)
@@ -146,15 +154,18 @@ class Trees:
         return 1 / (1 + np.exp(-out))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, monotone: dict[int, int], rounds: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 2.0, least: int = 20) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, monotone: dict[int, int], rounds: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 2.0) -> Trees:
     """Second-order histogram boosting of logistic loss.
 
+    A leaf holds at least an eighth of the rarer class's rows, 4 to 20.
+
     A split on a constrained feature is refused when its leaf values break the order, and the
     middle of the two values then bounds the values in either subtree, so whole trees are monotone.
     """
     rate_of = float(np.mean(y)) if len(y) else 1.0
     p = min(max(rate_of, 1e-3), 1 - 1e-3)
     trees = Trees(float(np.log(p / (1 - p))), depth=depth)
+    least = int(np.clip(min(y.sum(), len(y) - y.sum()) // 8, 4, 20))
     if len(y) < 2 * least or rate_of in (0.0, 1.0):
         return trees
     n, m = x.shape
@@ -234,8 +245,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return core.id_text(docs).where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "q", "t")
 
 
-def _lexicon(rows: DataFrame, most: int = 64, least: int = 8) -> np.ndarray:
-    """Hashes of the words whose document frequency is far higher under toxic=1."""
+def _lexicon(rows: DataFrame, most: int = 64, least: int = 8, purity: float = 0.9) -> np.ndarray:
+    """Hashes of the words and word beginnings that hardly any document but toxic ones has: the ``most`` that most have."""
 
     def frequencies(batches):
         for b in batches:
@@ -243,9 +254,15 @@ def _lexicon(rows: DataFrame, most: int = 64, least: int = 8) -> np.ndarray:
             tox = np.asarray(b.column(1).to_numpy(zero_copy_only=False))
             for at, n, buf, off in core.slices(b.column(0)):
                 starts, ends, first = core.words(buf, off)
-                h = core.span_hashes(_LOWER[buf], starts, _bare_ends(buf, starts, ends)) if len(starts) else np.zeros(0, np.uint64)
-                both = np.unique(np.stack([core.row_of(first).astype(np.uint64), h]), axis=1)
-                ids.append(both[1]), flags.append(tox[at + both[0].astype(np.int64)])
+                if not len(starts):
+                    continue
+                h = _lexical(_LOWER[buf], starts, ends).ravel()
+                row = np.tile(core.row_of(first), 2)
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                ids.append(h[new]), flags.append(tox[at + row[new]])
             if ids and sum(map(len, ids)):
                 key, inv = np.unique(np.concatenate(ids), return_inverse=True)
                 f = np.concatenate(flags)
@@ -253,7 +270,7 @@ def _lexicon(rows: DataFrame, most: int = 64, least: int = 8) -> np.ndarray:
 
     # A word of few documents can't enter, so rare words go before the shuffle's result reaches the driver.
     counts = rows.select("text", "t").mapInArrow(frequencies, "h bigint, n bigint, t bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    top = counts.where((F.col("t") >= least) & (F.col("t") * 2 > F.col("n"))).orderBy(F.desc("t"), "h").limit(most)
+    top = counts.where((F.col("t") >= least) & (F.col("t") >= purity * F.col("n"))).orderBy(F.desc("t"), "h").limit(most)
     return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
 
 
