@@ -34,7 +34,7 @@ NGRAM, THRESHOLD, RECALL = 3, 0.5, 0.95
 COORDINATES, SMALL, DEPTH, HOT = 64, 256, 6, 50_000
 #: A pair is verified unless its sketch is this far below the threshold (2.6 standard deviations at J = 0.5).
 MARGIN = 0.16
-#: Pairs of a pivot that are surely alike take the other out of a crowd of near copies.
+#: What is so alike to a pivot joins its crowd, and meets other crowds only where the pivots aren't surely one group.
 SURE = 0.85
 _SEEDS = core.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -147,13 +147,27 @@ def bucket_pairs(sketch: np.ndarray, path: int, least: float, threshold: float,
         if all(np.bincount(sketch[:, i], minlength=1).max() <= 0.9 * n for i in sampled(np.array([path], np.uint64), threshold)[0]):
             return
     covered = np.zeros(n, bool)
-    every = np.arange(n)
+    every, crowds = np.arange(n), []
     for p in range(n):  # pivots: each that no earlier one surely resembles meets all others
         if not covered[p]:
             alike = _alike(sketch, np.full(n, p), every)
             ok = (alike >= least) & (every != p)
-            covered |= alike >= SURE
+            own = (alike >= SURE) & ~covered
+            covered |= own
+            own[p] = False
+            if own.any():
+                crowds.append((p, np.flatnonzero(own)))
             yield np.full(int(ok.sum()), p), every[ok]
+    heads = np.array([p for p, _ in crowds], int)
+    for k, (p, own) in enumerate(crowds[:-1]):  # of two crowds whose pivots aren't surely one group, all members meet
+        apart = np.flatnonzero(_alike(sketch, np.full(len(crowds) - k - 1, p), heads[k + 1 :]) < threshold + MARGIN) + k + 1
+        other = np.concatenate([crowds[j][1] for j in apart] or [np.zeros(0, int)])
+        step = max(1, 1_000_000 // max(1, len(other)))
+        for at in range(0, len(own) if len(other) else 0, step):
+            a = np.repeat(own[at : at + step], len(other))
+            b = np.tile(other, len(own[at : at + step]))
+            ok = _alike(sketch, a, b) >= least
+            yield a[ok], b[ok]
 
 
 def candidates(batches, threshold: float):
