@@ -9,8 +9,8 @@ How many leaves are enough is measured, so that recall holds at any size and sha
 are compared with the whole table, and the number is the least at which the queue reaches ``RECALL`` of
 their true neighbours.
 
-Trees hold one direction a level and one number a node.  Medians come from a sample of at most
-``SAMPLE`` rows (a documented bound), so trees stay small enough for the driver; leaves then grow with the table.
+Trees hold one direction a level and one number a node.  Medians come from ``SAMPLE`` rows or one row in
+``SAMPLE_ONE_IN``, whichever is more, so that leaves hold about ``LEAF`` rows in tables of any size.
 Vectors meet in a shuffle on (tree, leaf), never in a broadcast.
 
 Defined results: rows with a null id, a null vector, a null or non-finite component, or a vector that isn't of the most common
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import core
 
-K, TREES, LEAF, SEED, SAMPLE = 10, 16, 1024, 11, 100_000
+K, TREES, LEAF, SEED, SAMPLE, SAMPLE_ONE_IN = 10, 16, 1024, 11, 100_000, 64
 RECALL, PROBES = 0.95, 192
 SCHEMA = "vec_id bigint, neighbour_id bigint, distance double, rank int"
 
@@ -169,10 +169,13 @@ def enough_leaves(base: DataFrame, forest: Forest, rows: int, k: int, recall: fl
     while True:
         leaves = min(leaves, most)
         order = forest.search(x, leaves)
-        place = np.full((len(x), most), leaves, np.int64)
         r, c = np.nonzero(order >= 0)
-        place[r, order[r, c]] = c
-        first = np.sort(place[row[:, None], own].min(1))
+        code = r * most + order[r, c]
+        by = np.argsort(code)
+        code, c = code[by], c[by]
+        ask = row[:, None] * most + own
+        at = np.minimum(np.searchsorted(code, ask), len(code) - 1)
+        first = np.sort(np.where(code[at] == ask, c[at], leaves).min(1))
         need = int(first[min(len(first) - 1, int(np.ceil(recall * len(first))))]) + 1 if len(first) else 1
         if need <= leaves or leaves == most:
             return min(need, most)
@@ -202,7 +205,7 @@ def neighbours(df: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF,
     """(vec_id, neighbour_id, distance, rank): the k nearest others of every row."""
     base, _ = core.table(vectors_of(df, id_col, column))
     rows = base.count()
-    share = min(1.0, 1.1 * sample / max(rows, 1))
+    share = min(1.0, 1.1 * max(sample, rows / SAMPLE_ONE_IN) / max(rows, 1))
     u = F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     got = base.where(u < share).toArrow().sort_by("id")
     forest = grow(_matrix(got.column("v").combine_chunks()) if len(got) else np.zeros((0, 1)), rows, trees, leaf)
