@@ -7,7 +7,7 @@ cut into blocks that weigh at most one unit each; the flow network source -> old
 All moves of a block cost alike, so they share a hub vertex and the network has a few edges a shard: the driver's
 work and data depend on the number of files, never on rows or blocks.  Of each old shard the heaviest blocks stay and the
 lightest go.  Files that lose or gain a block are rewritten below a folder of their own, row by row
-where they are read, without a shuffle; all others stay as they are.
+where they are read, without a shuffle of texts up to ``BROADCAST_BLOCKS`` blocks; all others stay as they are.
 
 Defined results: a null text weighs 0 bytes; repeated rows are rows like any other, and a null doc_id and
 further columns go along unchanged; an empty table has no blocks and gives an empty result; a total capacity below
@@ -27,6 +27,8 @@ from auditlake.llm import core
 
 #: A block's and a new shard's bytes in the registered query.
 UNIT_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
+#: The blocks' places (24 bytes each) are broadcast up to so many; beyond, rows meet theirs by an even shuffle on (file, row).
+BROADCAST_BLOCKS = 1_000_000
 
 
 def solve(sizes: list[int], capacities: list[int]) -> list[dict[int, int]]:
@@ -129,15 +131,19 @@ def reshard(spark: SparkSession, path: str, capacities: list[int] | None = None,
     plan = spark.createDataFrame(steps, "file string, old_shard int, low long, high long, new_shard int")
     mapped = blocks.join(plan, "file").where("rank > low AND rank <= high")
     # one row a file: where its blocks begin and where each goes
-    of_file = mapped.groupBy("file", "old_shard").agg(F.array_sort(F.collect_list(F.struct("first_row", "block", "new_shard"))).alias("starts"))
+    of_file, _ = core.table(mapped.groupBy("file", "old_shard").agg(F.array_sort(F.collect_list(F.struct("first_row", "block", "new_shard"))).alias("starts")))
     touched = {j for i, f in enumerate(flow) for j in f if j != i} | {i for i, f in enumerate(flow) if any(j != i for j in f)}
     left = [f for i, f in enumerate(names) if i not in touched and sizes[i]]
 
     def placed(columns: list) -> DataFrame:
         base = docs.select(*columns, file.alias("__al_file"), row.alias("__al_row"))
-        joined = base.join(of_file.select(F.col("file").alias("__al_file"), F.col("old_shard").alias("__al_old"), F.col("starts").alias("__al_starts")), "__al_file")
+        places = of_file.select(F.col("file").alias("__al_file"), F.col("old_shard").alias("__al_old"), F.col("starts").alias("__al_starts"))
         nth = F.aggregate("__al_starts", F.lit(0), lambda k, s: k + F.when(s["first_row"] <= F.col("__al_row"), 1).otherwise(0))
-        return joined.withColumn("__al_at", F.element_at("__al_starts", nth))
+        found = lambda d: d.withColumn("__al_at", F.element_at("__al_starts", nth)).drop("__al_starts")
+        if sum(sizes) <= BROADCAST_BLOCKS:
+            return found(base.join(F.broadcast(places), "__al_file"))
+        rows = found(light.select(F.col("file").alias("__al_file"), F.col("row").alias("__al_row")).join(places, "__al_file"))
+        return base.join(rows.hint("merge"), ["__al_file", "__al_row"])
 
     folder = f"{core.shared_dir(spark)}/auditlake-shards-{uuid.uuid4().hex}"
     if touched:
