@@ -7,7 +7,9 @@ single documents are (a single longer document forms a slice of its own).
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -75,6 +77,16 @@ def ship(spark: SparkSession) -> None:
 # --- Arrow -------------------------------------------------------------------
 
 
+def trim() -> None:
+    """Give a worker's free memory back, so that idle workers don't keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and os.path.exists("/lib/x86_64-linux-gnu/libc.so.6") else None
+
+
 def slices(arr: pa.Array, limit: int = SLICE_BYTES):
     """(first row, rows, bytes, offsets) of consecutive slices; nulls count as empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -93,6 +105,7 @@ def slices(arr: pa.Array, limit: int = SLICE_BYTES):
         o = offsets[at : to + 1]
         yield at, to - at, raw[o[0] : o[-1]], o - o[0]
         at = to
+    trim()
 
 
 # --- hashing -----------------------------------------------------------------

@@ -23,7 +23,7 @@ TOKENIZERS = os.environ.get("AUDITLAKE_TOKENIZERS", "/opt/tokenizers")
 BPE_FILE = "byte_bpe_50k.tiktoken"
 VOCABULARY = 50_256
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SLICE = 12 << 20
+SLICE = 4 << 20
 _SOLID = np.zeros(256, bool)
 _SOLID[33:127] = True
 
