@@ -27,6 +27,9 @@ from auditlake.llm import core
 #: At most so many labelled rows, those of least hash of doc_id, fit the ensembles (a documented bound).
 LABELLED_ROWS = 12_000
 MIN_QUALITY, MAX_TOXIC = 0.4, 0.5
+#: A lexicon entry is a word or a beginning of so many bytes of a longer one; toxic rows are at least PURITY of its rows, by a
+#: one-sided 95 % Wilson bound: 3 of 3 rows pass, 2 of 2 do not.
+BEGINNINGS, PURITY, CONFIDENCE_Z = (3, 4, 5, 6, 8), 0.5, 1.645
 
 FEATURES = [
     "log_bytes", "log_words", "mean_word", "upper_share", "digit_share", "symbol_share", "punct_share", "space_share", "high_byte_share",
@@ -105,17 +108,21 @@ def stat_matrix(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
         distinct, items, _ = _share_repeated(pairs, core.row_of(p_first), n)
         x[:, 16] = 1 - distinct / np.maximum(items, 1)
         if len(lexicon) and len(rows):
-            hits = np.bincount(rows, np.isin(_lexical(low, starts, ends), lexicon).any(0), minlength=n)
+            known = np.zeros(len(rows), bool)
+            for at, h in _lexical(low, starts, ends):
+                known[at] |= lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h
+            hits = np.bincount(rows, known, minlength=n)
             x[:, 17], x[:, 18] = hits / some, np.log1p(hits)
     return out
 
 
-def _lexical(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(2, words): hash of each word without a trailing mark, and of its first 4 bytes if it is longer (else the word's again)."""
+def _lexical(low: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(numbers of words, their hashes): of whole words without a trailing mark, then of each length in BEGINNINGS of the words that are longer."""
     ends = _bare_ends(low, starts, ends)
-    word = core.span_hashes(low, starts, ends)
-    head = core.span_hashes(low, starts, np.minimum(ends, starts + 4)) ^ np.uint64(0x4F1BBCDCBFA53E0B)
-    return np.stack([word, np.where(ends - starts > 4, head, word)])
+    yield np.arange(len(starts)), core.span_hashes(low, starts, ends)
+    for size in BEGINNINGS:
+        at = np.flatnonzero(ends - starts > size)
+        yield at, core.span_hashes(low, starts[at], starts[at] + size) ^ np.uint64(0x4F1BBCDCBFA53E0B + size)
 
 
 def _bare_ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -245,8 +252,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return core.id_text(docs).where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "q", "t")
 
 
-def _lexicon(rows: DataFrame, most: int = 64, least: int = 8, purity: float = 0.9) -> np.ndarray:
-    """Hashes of the words and word beginnings that hardly any document but toxic ones has: the ``most`` that most have."""
+def _lexicon(rows: DataFrame) -> np.ndarray:
+    """Hashes of all words and word beginnings that, by PURITY's bound, hardly any document but toxic ones has."""
 
     def frequencies(batches):
         for b in batches:
@@ -256,8 +263,9 @@ def _lexicon(rows: DataFrame, most: int = 64, least: int = 8, purity: float = 0.
                 starts, ends, first = core.words(buf, off)
                 if not len(starts):
                     continue
-                h = _lexical(_LOWER[buf], starts, ends).ravel()
-                row = np.tile(core.row_of(first), 2)
+                of = core.row_of(first)
+                found = [(of[w], h) for w, h in _lexical(_LOWER[buf], starts, ends)]
+                row, h = (np.concatenate(c) for c in zip(*found))
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
                 new = np.ones(len(h), bool)
@@ -268,10 +276,12 @@ def _lexicon(rows: DataFrame, most: int = 64, least: int = 8, purity: float = 0.
                 f = np.concatenate(flags)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(inv, minlength=len(key)), pa.int64()), pa.array(np.bincount(inv, f, minlength=len(key)).astype(np.int64))], ["h", "n", "t"])
 
-    # A word of few documents can't enter, so rare words go before the shuffle's result reaches the driver.
+    # The bound leaves out words of few documents, so they go before the shuffle's result reaches the driver.
     counts = rows.select("text", "t").mapInArrow(frequencies, "h bigint, n bigint, t bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    top = counts.where((F.col("t") >= least) & (F.col("t") >= purity * F.col("n"))).orderBy(F.desc("t"), "h").limit(most)
-    return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
+    share, zz = F.col("t") / F.col("n"), CONFIDENCE_Z**2
+    lowest = (share + zz / (2 * F.col("n")) - CONFIDENCE_Z * F.sqrt(share * (1 - share) / F.col("n") + zz / (4 * F.col("n") * F.col("n")))) / (1 + zz / F.col("n"))
+    pure = counts.where(lowest >= PURITY).select("h")
+    return np.sort(np.array([r.h for r in pure.collect()], np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Model:

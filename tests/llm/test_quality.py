@@ -69,3 +69,22 @@ def test_odd_rows(spark, odd, none, tiny):
     assert quality.kept(spark, none, tiny).count() == 0
     no_labels = quality.fit(odd, labels.limit(0))
     assert quality.score(odd, no_labels, "m").where("text <> '' AND trim(text) <> '' AND m.quality < 0.9 AND length(text) > 5 AND doc_id <> 9003").count() == 0
+
+
+def test_lexicon_has_every_pure_word(spark):
+    toxic = [f"plain filler bad{w:03d}x end" for w in range(150) for _ in range(8)]
+    rows = spark.createDataFrame([(t, 1) for t in toxic] + [("plain filler end", 0)] * 400, "text string, t int")
+    words = [f"bad{w:03d}x" for w in range(150)]
+    buf = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    own = next(quality._lexical(buf, ends - len(words[0]), ends))[1]
+    assert np.isin(own, quality._lexicon(rows)).all()
+
+
+def test_held_out_toxic_rows_by_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fifth = F.pmod(F.xxhash64("doc_id"), F.lit(5))
+    model = quality.fit(docs, labels.where(fifth != 0))
+    got = quality.score(docs.join(labels.where(fifth == 0), "doc_id"), model, "m").select("toxic", "m.toxic", "lang").toDF("t", "st", "lang").toPandas()
+    recall = got[got.t == 1].groupby("lang").st.agg(lambda s: s.gt(0.5).mean())
+    assert recall.min() > 0.6 and got.st[got.t == 1].gt(0.5).mean() > 0.95 and got.st[got.t == 0].gt(0.5).mean() < 0.02
