@@ -1,25 +1,29 @@
 """Resharding by minimum-cost flow.
 
 Old shards are the files of a table; new shards are capacities in text bytes.  New shard i is old
-shard i carried on, so what stays costs nothing and what goes elsewhere costs its size.  Rows are
-cut into blocks that weigh at most one unit each; the flow network source -> old shards -> new shards
--> sink carries whole blocks and is solved by successive shortest paths (Dijkstra with potentials).
-All moves of a block cost alike, so they share a hub vertex and the network has a few edges a shard: the driver's
-work and data depend on the number of files, never on rows or blocks.  Of each old shard the heaviest blocks stay and the
-lightest go.  Files that lose or gain a block are rewritten below a folder of their own, row by row
+shard i carried on, so what stays costs nothing and what goes elsewhere costs its bytes.  Rows are
+cut into blocks of at most one unit each, and a text of over half a unit is a block of its own.  The flow network
+source -> old shards -> new shards -> sink carries bytes and is solved by successive shortest paths (Dijkstra with
+potentials); all moves of a byte cost alike, so they share a hub vertex and the network has a few edges a shard.
+Then ``assign`` rounds the flow to whole blocks: a file that fits its shard stays whole, of any other the blocks
+that fill its shard best stay, and the rest go where the flow sends them or else where they fit best.  If blocks don't fit so, they
+are cut smaller, down to single rows.  The driver holds the weight and first row of each block.
+Files that lose or gain a block are rewritten below a folder of their own, row by row
 where they are read, without a shuffle of texts up to ``BROADCAST_BLOCKS`` blocks; all others stay as they are.
 
 Defined results: a null text weighs 0 bytes; repeated rows are rows like any other, and a null doc_id and
 further columns go along unchanged; an empty table has no blocks and gives an empty result; a total capacity below
-the need raises ValueError; no block parts and no new shard exceeds its capacity.
+the need, or rows for which no place is found, raise ValueError; no block parts and no new shard exceeds its capacity.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +33,15 @@ from auditlake.llm import core
 UNIT_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
 #: The blocks' places (24 bytes each) are broadcast up to so many; beyond, rows meet theirs by an even shuffle on (file, row).
 BROADCAST_BLOCKS = 1_000_000
+#: Of a file that its shard doesn't hold, the choice among so many lightest blocks is exact.
+EXACT = 14
 
 
 def solve(sizes: list[int], capacities: list[int]) -> list[dict[int, int]]:
-    """For each old shard the blocks that go to each new shard; the fewest leave their place."""
+    """For each old shard the bytes (or any units) that go to each new shard; the fewest leave their place."""
     n, m = len(sizes), len(capacities)
     if sum(sizes) > sum(capacities):
-        raise ValueError(f"{sum(sizes)} blocks don't fit capacities of {sum(capacities)}")
+        raise ValueError(f"{sum(sizes)} bytes don't fit capacities of {sum(capacities)}")
     source, sink, hub = n + m, n + m + 1, n + m + 2
     to: list[int] = []
     room: list[int] = []
@@ -100,47 +106,117 @@ def solve(sizes: list[int], capacities: list[int]) -> list[dict[int, int]]:
     return flow
 
 
+def fullest(weights: list[int], room: int) -> set[int]:
+    """Numbers of blocks of at most ``room`` bytes together, as many bytes as can be: heavy ones first, and of the last ``EXACT`` the best choice.
+
+    The heavy ones leave half of the last ones' bytes free, so that there is much to choose from, or no bytes if that holds more.
+    """
+    order = sorted(range(len(weights)), key=lambda k: (-weights[k], k))
+    best: tuple[int, set[int]] = (-1, set())
+    for spare in {sum(weights[k] for k in order[-EXACT:]) // 2, 0}:
+        keep, free = set(), room
+        for k in order[:-EXACT]:
+            if weights[k] <= free - spare:
+                keep.add(k)
+                free -= weights[k]
+        sums: dict[int, tuple[int, int]] = {0: (0, -1)}  # reachable sum: the sum before its last block, and that block
+        for k in order[-EXACT:]:
+            for s in list(sums):
+                if weights[k] and s + weights[k] <= free:
+                    sums.setdefault(s + weights[k], (s, k))
+        at = max(sums)
+        free -= at
+        while at:
+            at, k = sums[at]
+            keep.add(k)
+        for k in order:
+            if k not in keep and weights[k] <= free:
+                keep.add(k)
+                free -= weights[k]
+        best = max(best, (room - free, keep), key=lambda x: x[0])
+    return best[1]
+
+
+def assign(weights: list[list[int]], capacities: list[int]) -> list[list[int]] | None:
+    """The new shard of each block of each old shard, or None if blocks find no place."""
+    flow = solve([sum(w) for w in weights], capacities)
+
+    def placed(stay: list[set[int]]) -> list[list[int]] | None:
+        out = [[i] * len(w) for i, w in enumerate(weights)]
+        free = [c - (sum(weights[j][k] for k in stay[j]) if j < len(weights) else 0) for j, c in enumerate(capacities)]
+        rooms = sorted((f, j) for j, f in enumerate(free))
+        for w, i, k in sorted(((w, i, k) for i, ws in enumerate(weights) for k, w in enumerate(ws) if k not in stay[i]), key=lambda b: (-b[0], *b[1:])):
+            j = next((j for j in [i, *sorted(flow[i])] if j < len(free) and free[j] >= w), None)
+            if j is None:
+                at = bisect.bisect_left(rooms, (w, -1))
+                if at == len(rooms):
+                    return None
+                j = rooms[at][1]
+            rooms.pop(bisect.bisect_left(rooms, (free[j], j)))
+            free[j] -= w
+            bisect.insort(rooms, (free[j], j))
+            out[i][k] = j
+        return out
+
+    stay = [set(range(len(w))) if i < len(capacities) and sum(w) <= capacities[i] else fullest(w, capacities[i]) if i < len(capacities) else set() for i, w in enumerate(weights)]
+    return placed(stay) or placed([set() for _ in weights])
+
+
+def default_capacities(weights: list[list[int]], shard_bytes: int) -> list[int]:
+    """Shards that hold the blocks with a fifth to spare, whatever their weights are.
+
+    A block of at most half a shard finds room as long as the others leave it on average; each heavier one has a further shard.
+    """
+    total, all_ = sum(map(sum, weights)), [w for ws in weights for w in ws]
+    light = max((w for w in all_ if 2 * w <= shard_bytes), default=0)
+    n = max(1, len(weights), math.ceil(1.2 * total / shard_bytes), math.ceil(total / (shard_bytes - light)) + 1 if total else 0)
+    return [shard_bytes] * n + [max(shard_bytes, w) for w in sorted(all_, reverse=True) if 2 * w > shard_bytes]
+
+
 def reshard(spark: SparkSession, path: str, capacities: list[int] | None = None, unit_bytes: int = UNIT_BYTES, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str, list[str]]:
     """(manifest, folder of rewritten shards, files left as they are).
 
     The manifest has (doc_id, old_shard, new_shard, block, moved) of every row; the folder has ``__al_new_shard=N`` with
-    the whole of each affected new shard.  Capacities default to shards of ``shard_bytes`` that
-    hold the table with a fifth to spare.  The unit grows to twice the longest text if that is larger.
+    the whole of each affected new shard.  Capacities default to shards of ``shard_bytes``, or of a longer text.
     """
     docs = spark.read.parquet(path)
     names = sorted(f.rsplit("/", 1)[-1] for f in docs.inputFiles())
     file, row = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), F.col("_metadata.row_index")
     light, _ = core.table(docs.select(file.alias("file"), row.alias("row"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes")))
-    total, longest = light.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).head()
-    unit = max(unit_bytes, 2 * longest)
-    # rows that begin in the same window of a file make a block, which so weighs at most a unit
-    before = F.sum("bytes").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = light.select("file", "row", "bytes", F.floor(F.coalesce(before, F.lit(0)) / F.lit(unit - longest)).alias("block")).groupBy("file", "block").agg(F.min("row").alias("first_row"), F.sum("bytes").alias("weight"))
-    blocks, _ = core.table(blocks.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("weight"), "block"))))
-    count = {r["file"]: r["n"] for r in blocks.groupBy("file").agg(F.count("*").alias("n")).collect()}
-    sizes = [count.get(f, 0) for f in names]
-    if capacities is None:
-        capacities = [shard_bytes] * max(1, len([s for s in sizes if s]), math.ceil(1.2 * total / shard_bytes))
-    flow = solve(sizes, [c // unit for c in capacities])
-    steps = []
-    for i, f in enumerate(flow):
-        at = 0
-        for j in sorted(f, key=lambda j: (j != i, j)):
-            steps.append((names[i], i, at, at + f[j], j))
-            at += f[j]
-    plan = spark.createDataFrame(steps, "file string, old_shard int, low long, high long, new_shard int")
-    mapped = blocks.join(plan, "file").where("rank > low AND rank <= high")
+    before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    number, unit = {f: i for i, f in enumerate(names)}, unit_bytes
+    while True:
+        half = max(1, unit // 2)
+        long = F.col("bytes") > half
+        # Both terms only grow along a file: a long text ends the block before it and begins one after it, and short
+        # texts that begin in the same half of a unit make a block, which so weighs at most a unit.
+        nth = 2 * F.coalesce(F.count_if(long).over(before), F.lit(0)) + long.cast("long") + F.floor(F.coalesce(F.sum(F.when(long, 0).otherwise(F.col("bytes"))).over(before), F.lit(0)) / F.lit(half))
+        blocks = light.select("file", "row", "bytes", nth.alias("block")).groupBy("file", "block").agg(F.min("row").alias("first_row"), F.sum("bytes").alias("weight")).toArrow().sort_by([("file", "ascending"), ("block", "ascending")])
+        weights: list[list[int]] = [[] for _ in names]
+        old = [number[f] for f in blocks.column("file").to_pylist()]
+        for i, w in zip(old, blocks.column("weight").to_pylist()):
+            weights[i].append(w)
+        room = default_capacities(weights, shard_bytes) if capacities is None else capacities
+        places = assign(weights, room)
+        if places is not None:
+            break
+        if unit <= 1:
+            raise ValueError(f"no place found for all rows in capacities of {sum(room)} bytes")
+        unit = max(1, unit // 16)
+    new = [j for p in places for j in p]
+    plan = pa.table({"file": blocks.column("file"), "old_shard": pa.array(old, pa.int32()), "first_row": blocks.column("first_row"), "block": blocks.column("block"), "new_shard": pa.array(new, pa.int32())})
+    mapped = spark.createDataFrame(plan) if len(plan) else spark.createDataFrame([], "file string, old_shard int, first_row long, block long, new_shard int")
     # one row a file: where its blocks begin and where each goes
     of_file, _ = core.table(mapped.groupBy("file", "old_shard").agg(F.array_sort(F.collect_list(F.struct("first_row", "block", "new_shard"))).alias("starts")))
-    touched = {j for i, f in enumerate(flow) for j in f if j != i} | {i for i, f in enumerate(flow) if any(j != i for j in f)}
-    left = [f for i, f in enumerate(names) if i not in touched and sizes[i]]
+    touched = {x for i, p in enumerate(places) for j in p if j != i for x in (i, j)}
+    left = [f for i, f in enumerate(names) if i not in touched and weights[i]]
 
     def placed(columns: list) -> DataFrame:
         base = docs.select(*columns, file.alias("__al_file"), row.alias("__al_row"))
         places = of_file.select(F.col("file").alias("__al_file"), F.col("old_shard").alias("__al_old"), F.col("starts").alias("__al_starts"))
         nth = F.aggregate("__al_starts", F.lit(0), lambda k, s: k + F.when(s["first_row"] <= F.col("__al_row"), 1).otherwise(0))
         found = lambda d: d.withColumn("__al_at", F.element_at("__al_starts", nth)).drop("__al_starts")
-        if sum(sizes) <= BROADCAST_BLOCKS:
+        if len(plan) <= BROADCAST_BLOCKS:
             return found(base.join(F.broadcast(places), "__al_file"))
         rows = found(light.select(F.col("file").alias("__al_file"), F.col("row").alias("__al_row")).join(places, "__al_file"))
         return base.join(rows.hint("merge"), ["__al_file", "__al_row"])

@@ -1,11 +1,13 @@
 """Resharding against enumeration of all assignments, and the rewritten files against the old ones."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake.llm import resharding
+from tests.llm.conftest import table_of
 
 
 def cheapest(sizes, capacities):
@@ -63,3 +65,41 @@ def test_empty_table(spark, none, tmp_path):
 def test_whole_table(spark, small):
     got = resharding.query(spark, small)
     assert got.count() == spark.read.parquet(f"{small}/documents.parquet").count() and got.where("new_shard IS NULL").count() == 0
+
+
+def least_bytes(weights, capacities):
+    """Fewest bytes that move, over all assignments of whole blocks; None if none fits."""
+    flat, best = [(i, w) for i, ws in enumerate(weights) for w in ws], None
+    for to in itertools.product(range(len(capacities)), repeat=len(flat)):
+        if all(sum(w for (_, w), j in zip(flat, to) if j == k) <= c for k, c in enumerate(capacities)):
+            moved = sum(w for (i, w), j in zip(flat, to) if i != j)
+            best = moved if best is None else min(best, moved)
+    return best
+
+
+@pytest.mark.parametrize("weights,capacities", [([[7, 3, 5], [2, 2]], [11, 9, 9]), ([[9, 8, 2, 1]], [16, 10]), ([[30], [4, 4, 3]], [8, 8, 40]), ([[6, 5, 5], [1]], [10, 1, 6]), ([[3, 3], [], [5]], [6, 5]), ([[100, 1, 1, 2]], [4, 100]), ([[], []], [1])])
+def test_whole_blocks_move_the_fewest_bytes(weights, capacities):
+    got = resharding.assign(weights, capacities)
+    assert [len(g) for g in got] == [len(w) for w in weights]
+    assert all(sum(w for ws, g in zip(weights, got) for w, j in zip(ws, g) if j == k) <= c for k, c in enumerate(capacities))
+    assert sum(w for i, (ws, g) in enumerate(zip(weights, got)) for w, j in zip(ws, g) if j != i) == least_bytes(weights, capacities)
+
+
+def test_default_capacities_hold_any_blocks():
+    rng = random.Random(4)
+    for _ in range(200):
+        weights = [[rng.choice([0, 1, 3, 7, 8, 9, 15, 16, 17, 60]) for _ in range(rng.randrange(30))] for _ in range(rng.randrange(1, 6))]
+        assert resharding.assign(weights, resharding.default_capacities(weights, 16)) is not None
+
+
+def test_files_that_fit_stay_beside_a_huge_text(spark, tmp_path):
+    texts = ["x" * 100] * 140 + ["y" * 1500]
+    path = str(tmp_path / "t.parquet")
+    table_of(spark, texts).coalesce(1).write.parquet(path)
+    manifest, _, left = resharding.reshard(spark, path, [15_500], unit_bytes=1000)
+    assert len(left) == 1 and manifest.where("moved").count() == 0
+    manifest, _, _ = resharding.reshard(spark, path, unit_bytes=1000, shard_bytes=1200)
+    at = {r.doc_id: r.new_shard for r in manifest.collect()}
+    assert len(at) == 141 and len({j for i, j in at.items() if i != 141} & {at[141]}) == 0
+    # the text that is longer than its shards can't stay, and of the others the first shard keeps what it holds
+    assert sum(100 for i, j in at.items() if i != 141 and j == 0) > 600
