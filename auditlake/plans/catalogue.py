@@ -247,7 +247,7 @@ def taint_violations(spark, sf_dir):
 
 @query("mutant_list")
 def mutant_list(spark, sf_dir):
-    return mutants.mutants(corpus(spark, sf_dir))
+    return mutants.mutants(corpus(spark, sf_dir), limit=None)
 
 
 # --- code relations -----------------------------------------------------------------------------

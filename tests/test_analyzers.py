@@ -10,6 +10,7 @@ from auditlake.functions import scalars
 from auditlake.functions.lines import explode_lines
 from auditlake.operators import analyzers as an
 from auditlake.operators import code, compare, metrics, mutants, packages
+from auditlake.plans import catalogue
 from auditlake.plans.samples import SAMPLES
 from auditlake.sources import sinks
 from auditlake.streaming import watch
@@ -220,3 +221,9 @@ def test_watch(spark, tmp_path):
     (src / "b.py").write_text("# TODO: y\n")
     run()
     assert rows(spark.read.parquet(f"{state}/changes"), "batch", "name", "change") == [(0, "debt", "new"), (1, "debt", "broken")]
+
+
+def test_registered_mutants_are_whole(spark, tiny):
+    got = catalogue.QUERIES["mutant_list"](spark, tiny)
+    assert got.groupBy("file").count().where("count > 5").count() > 0
+    assert got.count() == mutants.mutants(catalogue.corpus(spark, tiny), None).count()
