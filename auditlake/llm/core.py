@@ -7,6 +7,7 @@ single documents are (a single longer document forms a slice of its own).
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import sys
@@ -30,29 +31,82 @@ _WS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one is set only if there is none."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a local session without one gets a temporary one, a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = java.get() if java.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="auditlake-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: Tables in the shared folder, oldest first, which some result may still read.
+_tables: list[str] = []
+
+
 def table(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    What no later step reads is dropped by ``drop_table``; a lazy result's own tables go by ``release``, or at the end of the session.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/auditlake-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_release_all, spark)
+    _tables.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table made by ``table`` that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_table(spark: SparkSession, *paths: str) -> None:
+    """Delete tables made by ``table`` that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _tables:
+            _tables.remove(path)
+
+
+def mark() -> int:
+    """Where the list of tables stands; ``release`` takes it."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Drop all tables made after ``mark`` gave ``since``: call it once the results that read them are written."""
+    drop_table(spark, *[p for p in _tables[since:] if p not in keep])
+
+
+def _release_all(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        release(spark)
+
+
+def whole_utf8(buf: np.ndarray) -> bytes:
+    """The bytes, with U+FFFD for what isn't UTF-8 (as Python's "replace" has it): so do all operators that read characters."""
+    raw = buf.tobytes()
+    return raw if raw.isascii() else raw.decode("utf-8", "replace").encode()
+
+
+def valid_utf8(arr: pa.Array) -> pa.Array:
+    """Texts whose invalid UTF-8 is replaced by U+FFFD, row by row where there is any; valid arrays come back as they are."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    try:
+        arr.cast(pa.binary() if arr.type == pa.string() else pa.large_binary()).cast(arr.type)
+        return arr
+    except pa.ArrowInvalid:
+        raw = arr.cast(pa.large_binary())
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
+
+
+def row_key(text: str = "text"):
+    """Tells the rows of one doc_id apart by their texts: 64 bits, which are only ever compared within a doc_id."""
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def id_text(docs: DataFrame) -> DataFrame:
@@ -204,3 +258,46 @@ def ngram_hashes(word_hash: np.ndarray, first: np.ndarray, n: int) -> tuple[np.n
 def list_array(values: np.ndarray, first: np.ndarray, kind: pa.DataType, valid: np.ndarray | None = None) -> pa.Array:
     mask = None if valid is None else pa.array(~valid)
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, kind), mask=mask)
+
+
+# --- a filter of bounded size --------------------------------------------------
+
+#: A Bloom filter has 16 bits an entry up to this many bits (32 MB); with more entries it lets more through, and what follows it decides alone.
+FILTER_BITS = 1 << 28
+_SHIFTS = (0, 18, 36)
+
+
+def bloom(hashes: DataFrame) -> np.ndarray:
+    """The filter of a table's one column of well-mixed bigints, set by a distributed aggregate of at most FILTER_BITS / 64 rows."""
+    x = hashes.columns[0]
+    n = hashes.count()
+    bits = 1 << 10
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    spots = hashes.select(F.explode(F.array(*[F.shiftrightunsigned(x, s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS])).alias("b"))
+    got = spots.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("m")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got.column("w").to_numpy()] = got.column("m").to_numpy()
+    return out.view(np.uint64)
+
+
+def may_hold(filter_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether hashes may be among the filter's; never false for one that is."""
+    x, last, hit = x.view(np.uint64), np.uint64(64 * len(filter_) - 1), np.ones(len(x), bool)
+    for s in _SHIFTS:
+        b = (x >> np.uint64(s)) & last
+        hit &= (filter_[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) > 0
+    return hit
+
+
+def one_of_equal_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each doc_id and text; rows with a null doc_id all stay.  Only rows that occur twice are shuffled, summed up before."""
+    spark = docs.sparkSession
+    key = [F.col("doc_id").cast("long").alias("__al_id"), row_key().alias("__al_key")]
+    often, path = table(docs.where("doc_id IS NOT NULL").groupBy(*key).agg(F.count("*").alias("__al_n")).where("__al_n > 1").select("__al_id", "__al_key"))
+    if not often.limit(1).count():
+        drop_table(spark, path)
+        return docs
+    on = (F.col("doc_id").cast("long") == F.col("__al_id")) & (row_key() == F.col("__al_key"))
+    twice = docs.join(often, on, "left_semi").select("*", *key)
+    return docs.join(often, on, "left_anti").unionByName(twice.dropDuplicates(["__al_id", "__al_key"]).select(*[F.col(f"`{c}`") for c in docs.columns]))

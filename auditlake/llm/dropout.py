@@ -10,7 +10,7 @@ in numpy, one pop each a round; chunks of over ``WIDE`` characters use a heap wi
 
 Decoding joins the pieces' bytes: a literal U+2581 and characters without a piece are byte pieces, so every text comes back exactly.
 
-Defined results: null text gives null ids, an empty text no ids; repeated rows get equal ids; a null
+Defined results: what isn't UTF-8 in a text is encoded as U+FFFD; null text gives null ids, an empty text no ids; repeated rows get equal ids; a null
 doc_id hashes as 0; an empty table gives an empty result; extra columns are never read.
 """
 
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, rate: float = RATE, seed: int = SEED, tokenizers: st
         p = pieces(tokenizers)
         numbers = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
         parts, lens = [], [np.zeros(1, np.int64)]
-        for at, n, buf, off in core.slices(text, SLICE):
+        for at, n, buf, off in core.slices(core.valid_utf8(text), SLICE):
             ids, first = encode_slice(p, buf, off, numbers[at : at + n], rate, seed)
             parts.append(ids), lens.append(np.diff(first))
         valid = text.is_valid().to_numpy(zero_copy_only=False)

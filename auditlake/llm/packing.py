@@ -191,7 +191,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, tokenizers
                 seen[int(c)] = seen.get(int(c), 0) + int(r)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local, pa.int64())], [*b.schema.names, "local"])
 
-    ranked, _ = core.table(ordered.mapInArrow(number, "doc_id bigint, piece int, first_token bigint, n_tokens int, cls int, part int, local bigint"))
+    ranked, _own = core.table(ordered.mapInArrow(number, "doc_id bigint, piece int, first_token bigint, n_tokens int, cls int, part int, local bigint"))
     core.drop_table(spark, raw)
     tally = sorted((r.cls, r.part, r.n) for r in ranked.groupBy("cls", "part").agg(F.count("*").alias("n")).collect())
     sizes = np.array(sorted({c for c, _, _ in tally}), np.int64)

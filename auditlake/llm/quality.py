@@ -313,7 +313,8 @@ def score(docs: DataFrame, model: Model, name: str = "__al_quality") -> DataFram
         q, t = model.scores(text)
         return pa.StructArray.from_arrays([pa.array(q), pa.array(t)], ["quality", "toxic"])
 
-    return docs.withColumn(name, scores(F.col("text").cast("string")))
+    # Not deterministic for the optimizer only: else the filter on it would run it a second time.
+    return docs.withColumn(name, scores.asNondeterministic()(F.col("text").cast("string")))
 
 
 def _keeps(name: str):

@@ -10,7 +10,7 @@ ids since the one before, so the parts of a block can be decoded in parallel, to
 Result rows: one header (shard -1) whose payload is the frequency table, then one row for each
 block: the documents that it holds parts of (doc_ids, the first id of each part in its document, ids in the part).
 
-Defined results: null texts are in no block; an empty text is a part of 0 ids; repeated rows are
+Defined results: what isn't UTF-8 in a text is encoded as U+FFFD; null texts are in no block; an empty text is a part of 0 ids; repeated rows are
 encoded once each; a null doc_id stays null in doc_ids; an empty table gives the header alone; extra columns are never read.
 """
 
@@ -29,7 +29,7 @@ from auditlake.llm import core, subwords
 SCALE, LANES, BLOCK, CHECK = 20, 64, 1 << 15, 128
 LOW = np.uint64(1 << 31)
 _S, _W = np.uint64(SCALE), np.uint64(32)
-SCHEMA = "shard int, block int, doc_ids array<bigint>, first_ids array<bigint>, counts array<int>, n_ids bigint, n_words int, states binary, payload binary, checkpoints array<struct<step:int,word:int,states:binary,crc:bigint>>, crc bigint"
+SCHEMA = "shard int, block bigint, doc_ids array<bigint>, first_ids array<bigint>, counts array<int>, n_ids bigint, n_words int, states binary, payload binary, checkpoints array<struct<step:int,word:int,states:binary,crc:bigint>>, crc bigint"
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def encode_corpus(docs: DataFrame, tokenizers: str = subwords.TOKENIZERS) -> Dat
                         part = np.arange(first, last)
                         part = part[(ends[part] > lo) | (lens[part] == 0)]  # an empty text between two blocks belongs to the second
                         begin = np.maximum(starts[part], lo)
-                        rows.append(e | {"shard": shard.as_py(), "block": (seq.as_py() << 12) + k, "doc_ids": doc_ids.take(pa.array(part)).to_pylist(), "first_ids": begin - starts[part], "counts": (np.minimum(ends[part], hi) - begin).astype(np.int32)})
+                        rows.append(e | {"shard": shard.as_py(), "block": (seq.as_py() << 32) + k, "doc_ids": doc_ids.take(pa.array(part)).to_pylist(), "first_ids": begin - starts[part], "counts": (np.minimum(ends[part], hi) - begin).astype(np.int32)})
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     header = [(-1, -1, [], [], [], int(counts.sum()), 0, b"", freq.astype(np.uint32).tobytes(), [], zlib.crc32(freq.astype(np.uint32).tobytes()))]
@@ -203,7 +203,7 @@ def encode_corpus(docs: DataFrame, tokenizers: str = subwords.TOKENIZERS) -> Dat
 
 
 _ARROW = pa.schema([
-    ("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("first_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("n_words", pa.int32()), ("states", pa.binary()), ("payload", pa.binary()),
+    ("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("first_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("n_words", pa.int32()), ("states", pa.binary()), ("payload", pa.binary()),
     ("checkpoints", pa.list_(pa.struct([("step", pa.int32()), ("word", pa.int32()), ("states", pa.binary()), ("crc", pa.int64())]))), ("crc", pa.int64()),
 ])
 

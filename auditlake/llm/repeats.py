@@ -1,4 +1,4 @@
-"""Substring dedup: an FM-index per shard, matching statistics by backward search.
+"""Substring dedup: a compressed FM-index per shard, matching statistics by backward search.
 
 A repeat is a run of at least ``LEAST`` white-space words that stands at an earlier place, too: in a document of
 lower doc_id, or before in the same one.  All such runs are found:
@@ -7,17 +7,24 @@ lower doc_id, or before in the same one.  All such runs are found:
    window share one.  Only the surroundings of anchors that occur twice go on.
 2. Shards.  An anchor belongs to the least document that has it; the surroundings of all anchors of one owner
    meet in one shard, and overlapping ones of a document are one segment there.
-3. Index.  Suffix array by prefix doubling, its Burrows-Wheeler transform in a wavelet matrix (packed bits,
-   sampled counts), range minima over the suffix array.
-4. Search.  Every segment streams through its shard's index.  A window is read backwards while some
-   occurrence lies earlier than itself; where that fails, no window may start at or before that word, and the
-   search goes on behind it.  A whole window's match is extended to its full length.  All segments advance together in numpy.
-
-Positions are word numbers, from 0; a word is what ASCII white space delimits, compared exactly.
+3. Hot owners.  Of an owner whose segments would fill a shard alone, only windows that occur twice among them go on, by counts of
+   their 128-bit hashes summed before and after a shuffle; equal runs of such windows are collapsed to their first
+   place, and each distinct run is indexed once, however many documents hold it.
+4. Index.  The Burrows-Wheeler transform of a shard's words, from suffixes sorted to a depth of ``LEAST`` words, in a
+   wavelet matrix (packed bits, sampled counts), and one bit for each row that begins another ``LEAST``-word context.
+   The suffix array itself is thrown away.
+5. Matching statistics.  Every segment streams through its shard's index from its end: a step of backward search for each word,
+   the match held at ``LEAST`` words by widening its interval to the context's rows.  Rows of a context are the
+   places where its window stands: where there are several, all but the earliest are repeats.
+   All segments advance together in numpy.
+
+Positions are word numbers, from 0; a word is what ASCII white space delimits.  Words are numbered by 64-bit hashes with a seed of their
+own, so within a shard of ``SHARD_WORDS`` words two different ones agree with a chance of 1e-8.
 
 Defined results: null and empty texts and those of fewer than ``LEAST`` words have no repeats; rows with a null
-doc_id aren't searched; repeated rows count as one document (of the row whose words' hash is least); ties: of equal
-passages that of least (doc_id, place) is the first and stays; an empty table gives an empty result; extra columns are never read.
+doc_id aren't searched; rows of one doc_id with different texts are documents of their own (``row_key`` tells them apart, and ranks them);
+equal rows count as one document; ties: of equal passages that of least (doc_id, row_key, place) is the first and stays; an empty table gives an
+empty result; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -31,8 +38,13 @@ from pyspark.sql.functions import arrow_udf
 from auditlake.llm import core
 
 LEAST, GRAM = 50, 25
-#: Words that a shard's index holds, about.
+#: Words that a shard's index holds, about; an owner of more is hot.
 SHARD_WORDS = 300_000
+#: Words of a segment that one lane of a search reads.
+LANE = 1024
+SCHEMA = "doc_id bigint, first_word int, n_words int, source_id bigint, source_word int"
+_KEYED = "doc_id bigint, row_key bigint, first_word int, n_words int, source_id bigint, source_word int"
+_SEGMENT = "owner bigint, doc_id bigint, row_key bigint, start int, words binary"
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
 
@@ -81,20 +93,19 @@ def word_hashes(batch_text: pa.Array, limit: int = 2 << 20):
 
 def anchors(batches):
     for b in batches:
-        ids = np.asarray(b.column(0))
-        for at, n, h, first in word_hashes(b.column(1)):
+        key = np.asarray(b.column(0))
+        for at, _, h, first in word_hashes(b.column(1)):
             pos = anchors_of(h, first)
             if len(pos):
                 row = np.searchsorted(first, pos, "right") - 1
-                up = h  # the gram's own hash again, from its words alone
-                g = np.zeros(len(pos), np.uint64)
+                g = np.zeros(len(pos), np.uint64)  # the gram's own hash again, from its words alone
                 for k in range(GRAM):
-                    g = g * np.uint64(_B) + up[pos + k]
-                yield pa.RecordBatch.from_arrays([pa.array(core.mix(g).view(np.int64)), pa.array(ids[at + row]), pa.array((pos - first[row]).astype(np.int32))], ["h", "doc_id", "pos"])
+                    g = g * np.uint64(_B) + h[pos + k]
+                yield pa.RecordBatch.from_arrays([pa.array(core.mix(g).view(np.int64)), pa.array(key[at + row]), pa.array((pos - first[row]).astype(np.int32))], ["h", "key", "pos"])
 
 
 def shared_anchors(batches):
-    """Of rows sorted by (h, doc_id, pos): those whose h occurs twice, with the least document that has it."""
+    """Of rows sorted by (h, key, pos): those whose h occurs twice, with the least document key that has it."""
     tail = None  # (h, owner, its row if not yet sent)
     for b in batches:
         h, d, p = (b.column(k).to_numpy() for k in range(3))
@@ -110,144 +121,127 @@ def shared_anchors(batches):
         send = (size > 1)[run]
         owner = d[begin][run]
         if tail is not None and tail[3]:
+            owner[h == tail[0]] = tail[1]
             send[0] = False  # went out with the batch before
         # the last run may go on: its first row stays for the next batch
         k = int(begin[-1])
         sent = bool(size[-1] > 1) or (tail is not None and tail[3] and k == 0)
-        tail = (h[k], d[k], p[k], sent)
+        tail = (h[k], owner[k], p[k], sent)
         if send.any():
-            yield pa.RecordBatch.from_arrays([pa.array(d[send]), pa.array(p[send]), pa.array(owner[send])], ["doc_id", "pos", "owner"])
-
-
-def texts_as_words(batches):
-    for b in batches:
-        for at, n, h, first in word_hashes(b.column(1)):
-            keep = np.flatnonzero(np.diff(first) >= LEAST)
-            if len(keep):
-                small = (h >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n).take(pa.array(keep)), pa.array([small[first[k] : first[k + 1]].tobytes() for k in keep], pa.binary())], ["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[send]), pa.array(p[send]), pa.array(owner[send])], ["key", "pos", "owner"])
 
 
 def segments(batches):
-    """Of rows sorted by (doc_id, kind, pos), anchors (kind 0) before words (kind 1): segments for each owner."""
-    ids, pos, owners = [], [], []
+    """Of rows sorted by (key, kind, pos), anchors (kind 0) before texts (kind 1): the surroundings of each owner's anchors."""
+    key, pos, owners = None, [], []
     for b in batches:
-        doc, kind, p, o, words = (b.column(k) for k in range(5))
-        doc, kind = doc.to_numpy(), kind.to_numpy()
+        keys, kind, p, o, ids, row_keys, texts = b.columns
+        keys, kind = keys.to_numpy(), kind.to_numpy()
         p, o = p.fill_null(0).to_numpy(), o.fill_null(0).to_numpy()
         out: list[tuple] = []
-        texts = np.flatnonzero(kind == 1)
-        at = 0
-        for t in texts:
-            if t > at:
-                ids.append(doc[at:t]), pos.append(p[at:t]), owners.append(o[at:t])
-            at = t + 1
-            if not ids:
-                continue
-            i, q, w = np.concatenate(ids), np.concatenate(pos), np.concatenate(owners)
-            ids, pos, owners = [], [], []
-            mine = i == doc[t]
-            if not mine.any():
+        cuts = np.flatnonzero((np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0) != 0) | (np.diff(kind, prepend=0) != 0))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(keys))):
+            if keys[lo] != key:
+                key, pos, owners = keys[lo], [], []
+            if kind[lo] == 0:
+                pos.append(p[lo:hi].astype(np.int64)), owners.append(o[lo:hi])
                 continue
-            q, w = q[mine].astype(np.int64), w[mine]
-            text = words[int(t)].as_py()
-            n = len(text) // 4
-            order = np.lexsort((q, w))
-            q, w = q[order], w[order]
-            lo, hi = np.maximum(q - (LEAST - GRAM), 0), np.minimum(q + LEAST, n)
-            cut = np.ones(len(q), bool)
-            cut[1:] = (w[1:] != w[:-1]) | (lo[1:] > hi[:-1])
-            first = np.flatnonzero(cut)
-            last = np.append(first[1:], len(q)) - 1
-            for a, z in zip(first, last):
-                out.append((int(w[a]), int(doc[t]), int(lo[a]), text[4 * lo[a] : 4 * hi[z]]))
-        if at < len(doc):
-            ids.append(doc[at:]), pos.append(p[at:]), owners.append(o[at:])
+            for t in range(lo, hi) if pos else ():  # two documents of one key, if that ever is, get the anchors of both
+                q, w = np.concatenate(pos), np.concatenate(owners)
+                h = np.concatenate([x for _, _, x, _ in word_hashes(texts.slice(t, 1))] or [np.zeros(0, np.uint64)])
+                n = len(h)
+                order = np.lexsort((q, w))
+                q, w = q[order], w[order]
+                q, w = q[q + GRAM <= n], w[q + GRAM <= n]
+                a, z = np.maximum(q - (LEAST - GRAM), 0), np.minimum(q + LEAST, n)
+                cut = np.ones(len(q), bool)
+                cut[1:] = (w[1:] != w[:-1]) | (a[1:] > z[:-1])
+                first = np.flatnonzero(cut)
+                last = np.append(first[1:], len(q)) - 1
+                h = core.mix(h ^ np.uint64(0x6A09E667F3BCC908))
+                out += [(int(w[f]), ids[t].as_py(), row_keys[t].as_py(), int(a[f]), h[a[f] : z[g]].tobytes()) for f, g in zip(first, last)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], ["owner", "doc_id", "start", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["owner", "doc_id", "row_key", "start", "words"])
 
 
 # --- the index -------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Prefix doubling; suffixes that are already alone in their class aren't sorted again."""
+def contexts(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes sorted by their first ``depth`` symbols, whether each begins another such context), by prefix doubling."""
     n = len(text)
-    sa = np.argsort(text, kind="stable")
-    rank = np.empty(n, np.int64)
-    new = np.ones(n, bool)
-    new[1:] = text[sa[1:]] != text[sa[:-1]]
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[sa] = head
-    k = 1
-    while True:
-        alone = new & np.append(new[1:], True)
-        slot = np.flatnonzero(~alone)
-        if not len(slot):
-            return sa
-        who = sa[slot]
-        nxt = np.where(who + k < n, rank[np.minimum(who + k, n - 1)] + 1, 0)
-        key = head[slot] * (n + 1) + nxt
+
+    def sort(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = a * np.int64(n + 2) + b
         order = np.argsort(key, kind="stable")
-        who, key = who[order], key[order]
-        sa[slot] = who
-        split = np.ones(len(key), bool)
-        split[1:] = key[1:] != key[:-1]
-        new[slot] = split
-        head[slot] = np.maximum.accumulate(np.where(split, slot, 0))
-        rank[who] = head[slot]
-        k *= 2
+        new = np.ones(n, bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        return order, new
+
+    def after(rank: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        out[: max(0, n - k)] = rank[k:] + 1
+        return out
+
+    order, new = sort(np.asarray(text, np.int64), np.zeros(n, np.int64))
+    have = 1
+    while have < depth:
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        k = min(have, depth - have)
+        order, new = sort(rank, after(rank, k))
+        have += k
+    return order, new
 
 
 class FMIndex:
-    """Burrows-Wheeler transform of an integer text in a wavelet matrix."""
-
-    def __init__(self, text: np.ndarray):
-        self.text, n = text, len(text)
-        self.n, self.sa = n, suffix_array(text)
-        bwt = text[self.sa - 1]
-        sigma = int(text.max()) + 1
+    """Burrows-Wheeler transform of an integer text, sorted to ``depth`` symbols, in a wavelet matrix.  Answers for strings of up to ``depth``."""
+
+    def __init__(self, text: np.ndarray, depth: int = LEAST):
+        n = len(text)
+        order, new = contexts(text, depth)
+        self.n, self.depth, sigma = n, depth, int(text.max()) + 1
+        cur = text[order - 1]
+        del order
+        self.mark, self.marks = self._packed(new)
+        self.context_begin = np.append(np.flatnonzero(new), n).astype(np.int32)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.levels = max(1, int(sigma - 1).bit_length())
         self.bits, self.ones, self.zeros = [], [], []
-        self.begin = np.zeros(sigma, np.int64)
-        cur, sym, start = bwt, np.arange(sigma), np.zeros(sigma, np.int64)
+        sym, start = np.arange(sigma), np.zeros(sigma, np.int64)
         for level in range(self.levels - 1, -1, -1):
-            bit = (cur >> level & 1).astype(np.uint8)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, np.uint8)]), bitorder="little").view(np.uint64)
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]])
+            bit = (cur >> level & 1).astype(bool)
+            packed, counts = self._packed(bit)
             zeros = int(n - bit.sum())
             self.bits.append(packed), self.ones.append(counts), self.zeros.append(zeros)
-            up = self._rank1(len(self.bits) - 1, start)
+            up = self._rank1(packed, counts, start)
             start = np.where(sym >> level & 1, zeros + up, start - up)
-            cur = np.concatenate([cur[bit == 0], cur[bit == 1]])
+            cur = np.concatenate([cur[~bit], cur[bit]])
         self.begin = start
-        self.minima = [self.sa.astype(np.int32)]
-        while 2 << (len(self.minima) - 1) <= n:
-            h, m = 1 << (len(self.minima) - 1), self.minima[-1]
-            self.minima.append(np.minimum(m[:-h], m[h:]))
-        self.flat = np.concatenate(self.minima)
-        self.flat_at = np.cumsum([0] + [len(m) for m in self.minima])
-
-    def _rank1(self, level: int, i: np.ndarray) -> np.ndarray:
+
+    @staticmethod
+    def _packed(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        packed = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
+        return packed, np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]])
+
+    @staticmethod
+    def _rank1(packed: np.ndarray, counts: np.ndarray, i: np.ndarray) -> np.ndarray:
         word = i >> 6
-        part = self.bits[level][word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-        return self.ones[level][word] + np.bitwise_count(part)
+        part = packed[word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
+        return counts[word] + np.bitwise_count(part)
 
     def step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: intervals of c followed by what [lo, hi) stands for."""
         i, cc = np.concatenate([lo, hi]), np.concatenate([c, c])
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            up = self._rank1(k, i)
+            up = self._rank1(self.bits[k], self.ones[k], i)
             i = np.where(cc >> level & 1, self.zeros[k] + up, i - up)
         i = self.before[cc] + i - self.begin[cc]
         return i[: len(c)], i[len(c) :]
 
-    def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Least text position in suffix array intervals (not empty)."""
-        k = np.frexp((hi - lo).astype(float))[1] - 1
-        at = self.flat_at[k]
-        return np.minimum(self.flat[at + lo], self.flat[at + hi - (1 << k)])
+    def context(self, row: np.ndarray) -> np.ndarray:
+        """Number of the context that rows belong to."""
+        return self._rank1(self.mark, self.marks, row + 1) - 1
 
 
 def search(words: list[np.ndarray], least: int = LEAST) -> list[tuple[int, int, int, int, int]]:
@@ -260,143 +254,242 @@ def search(words: list[np.ndarray], least: int = LEAST) -> list[tuple[int, int,
     flat = np.zeros(int((sizes + 1).sum()), np.int64)
     inside = np.ones(len(flat), bool)
     inside[end] = False
-    values, dense = np.unique(np.concatenate(words), return_inverse=True)
+    _, dense = np.unique(np.concatenate(words), return_inverse=True)
     flat[inside] = dense + 1
-    fm = FMIndex(flat)
-    # prefix hashes for extensions; every separator differs
-    with np.errstate(over="ignore"):
-        val = core.mix(flat.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1))
-        val[end] = core.mix(np.arange(len(end), dtype=np.uint64) + np.uint64(1 << 40))
-        up, down = _powers(_B, len(flat) + 1), _powers(_B_INV, len(flat) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(val * up[:-1])])
-    same = lambda a, b, n: (sums[a + n] - sums[a]) * down[a] == (sums[b + n] - sums[b]) * down[b]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    lane = np.flatnonzero(sizes >= least)
-    stop, p = end[lane], begin[lane].copy()
-    j = p + least
-    lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), fm.n)
-    while len(lane):
+    fm = FMIndex(flat, least)
+    # lanes read up to LANE windows each, from the last to the first
+    per = np.where(sizes >= least, -(-(sizes - least + 1) // LANE), 0)
+    seg = np.repeat(np.arange(len(sizes)), per)
+    nth = np.arange(len(seg)) - np.repeat(np.cumsum(per) - per, per)
+    stop = begin[seg] + nth * LANE
+    j = np.minimum(stop + LANE + least - 1, end[seg])
+    length = np.zeros(len(seg), np.int64)
+    lo, hi = np.zeros(len(seg), np.int64), np.full(len(seg), fm.n)
+    at_context = np.full(len(flat), -1, np.int64)
+    while len(j):
         j = j - 1
         lo, hi = fm.step(flat[j], lo, hi)
-        first = fm.earliest(lo, hi).astype(np.int64)
-        fails = first >= j
-        whole = ~fails & (j == p)
-        if whole.any():
-            a, b = p[whole], first[whole]
-            good, most = np.full(len(a), least), np.minimum(stop[whole] - a, len(flat) - b)
-            while True:  # longest common extension by bisection
-                open_ = np.flatnonzero(good < most)
-                if not len(open_):
-                    break
-                mid = (good[open_] + most[open_] + 1) // 2
-                ok = same(a[open_], b[open_], mid)
-                good[open_] = np.where(ok, mid, good[open_])
-                most[open_] = np.where(ok, most[open_], mid - 1)
-            out.append((a, good, b))
-            p[whole] = a + good - least + 1
-        p[fails] = j[fails] + 1
-        again = fails | whole
-        j[again] = p[again] + least
-        lo[again], hi[again] = 0, fm.n
-        live = p + least <= stop
+        length += 1
+        full = np.flatnonzero(length >= least)
+        if len(full):  # the match is held at ``least`` words: all rows of its context
+            c = fm.context(lo[full])
+            lo[full], hi[full] = fm.context_begin[c], fm.context_begin[c + 1]
+            at_context[j[full]] = c
+        live = j > stop
         if not live.all():
-            lane, stop, p, j, lo, hi = lane[live], stop[live], p[live], j[live], lo[live], hi[live]
-    if not out:
+            stop, j, length, lo, hi = stop[live], j[live], length[live], lo[live], hi[live]
+    p = np.flatnonzero(at_context >= 0)
+    _, first, which = np.unique(at_context[p], return_index=True, return_inverse=True)
+    src = p[first][which]  # the earliest place of each window: places are in the order of documents
+    again = src < p
+    p, src = p[again], src[again]
+    if not len(p):
         return []
-    a, n, b = (np.concatenate(x) for x in zip(*out))
-    sa, sb = np.searchsorted(begin, a, "right") - 1, np.searchsorted(begin, b, "right") - 1
-    return list(zip(sa.tolist(), (a - begin[sa]).tolist(), n.tolist(), sb.tolist(), (b - begin[sb]).tolist()))
+    sa, sb = np.searchsorted(begin, p, "right") - 1, np.searchsorted(begin, src, "right") - 1
+    cut = np.ones(len(p), bool)
+    cut[1:] = (np.diff(p) != 1) | (np.diff(src) != 1) | (np.diff(sa) != 0) | (np.diff(sb) != 0)
+    a = np.flatnonzero(cut)
+    n = np.diff(np.append(a, len(p))) + least - 1
+    return list(zip(sa[a].tolist(), (p - begin[sa])[a].tolist(), n.tolist(), sb[a].tolist(), (src - begin[sb])[a].tolist()))
 
 
 def shard_repeats(t: pa.Table) -> pa.Table:
     """Repeats within one shard."""
-    doc, start = t.column("doc_id").to_numpy(), t.column("start").to_numpy().astype(np.int64)
-    words = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("words")]
-    order = np.lexsort((start, doc))
+    doc, key, start = t.column("doc_id").to_numpy(), t.column("row_key").to_numpy(), t.column("start").to_numpy().astype(np.int64)
+    words = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("words")]
+    order = np.lexsort((start, key, doc))
     d_out, s_out, w_out = [], [], []
     for k in order:  # overlapping or touching segments of a document are one
-        if d_out and d_out[-1] == doc[k] and start[k] <= s_out[-1] + len(w_out[-1]):
+        if d_out and d_out[-1] == (doc[k], key[k]) and start[k] <= s_out[-1] + len(w_out[-1]):
             over = s_out[-1] + len(w_out[-1]) - start[k]
             if over < len(words[k]):
                 w_out[-1] = np.concatenate([w_out[-1], words[k][over:]])
         else:
-            d_out.append(doc[k]), s_out.append(int(start[k])), w_out.append(words[k])
+            d_out.append((doc[k], key[k])), s_out.append(int(start[k])), w_out.append(words[k])
     got = search(w_out)
+    core.trim()
     return pa.table({
-        "doc_id": pa.array([int(d_out[a]) for a, *_ in got], pa.int64()), "first_word": pa.array([s_out[a] + p for a, p, *_ in got], pa.int32()), "n_words": pa.array([n for _, _, n, _, _ in got], pa.int32()),
-        "source_id": pa.array([int(d_out[b]) for *_, b, _ in got], pa.int64()), "source_word": pa.array([s_out[b] + q for *_, b, q in got], pa.int32()),
+        "doc_id": pa.array([int(d_out[a][0]) for a, *_ in got], pa.int64()), "row_key": pa.array([int(d_out[a][1]) for a, *_ in got], pa.int64()), "first_word": pa.array([s_out[a] + p for a, p, *_ in got], pa.int32()), "n_words": pa.array([n for _, _, n, _, _ in got], pa.int32()),
+        "source_id": pa.array([int(d_out[b][0]) for *_, b, _ in got], pa.int64()), "source_word": pa.array([s_out[b] + q for *_, b, q in got], pa.int32()),
     })
 
 
-def merged(batches):
-    """Of rows sorted by (doc_id, first_word): overlapping or touching intervals of a document joined; the longest names the source."""
-    tail = None
+# --- hot owners --------------------------------------------------------------------
 
-    def table_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["doc_id", "first_word", "n_words", "source_id", "source_word"])
 
-    for b in batches:
-        rows = []
-        for d, f, n, s, w in zip(*(b.column(k).to_pylist() for k in range(5))):
-            if tail is not None and tail[0] == d and f <= tail[1] + tail[2]:
-                size = max(tail[2], f + n - tail[1])
-                tail = [d, tail[1], size, *((s, w) if n > tail[5] else tail[3:5]), max(n, tail[5])]
-            else:
-                if tail is not None:
-                    rows.append(tail[:5])
-                tail = [d, f, n, s, w, n]
-        if rows:
-            yield table_of(rows)
-    if tail is not None:
-        yield table_of([tail[:5]])
+def _windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each window of ``LEAST`` words."""
+    out = []
+    with np.errstate(over="ignore"):
+        for salt in (0x243F6A8885A308D3, 0x13198A2E03707345):
+            h = core.mix(words ^ np.uint64(salt))
+            up, down = _powers(_B, len(h) + 1), _powers(_B_INV, len(h) + 1)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+            out.append(core.mix((sums[LEAST:] - sums[:-LEAST]) * down[: len(h) - LEAST + 1]))
+    return out[0], out[1]
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_word, n_words, source_id, source_word): runs of words that stand at an earlier place, too."""
-    base = core.id_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    marks = base.mapInArrow(anchors, "h bigint, doc_id bigint, pos int")
-    both = marks.repartition("h").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(shared_anchors, "doc_id bigint, pos int, owner bigint")
-    words = base.mapInArrow(texts_as_words, "doc_id bigint, words binary")
-    rows = both.select("doc_id", F.lit(0).alias("kind"), "pos", "owner", F.lit(None).cast("binary").alias("words"))
-    rows = rows.unionByName(words.select("doc_id", F.lit(1).alias("kind"), F.lit(0).alias("pos"), F.lit(None).cast("long").alias("owner"), "words"))
-    cut, _ = core.table(rows.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "pos", F.xxhash64("words")).mapInArrow(segments, "owner bigint, doc_id bigint, start int, words binary"))
-    total = cut.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).head()[0] // 4
-    shards = max(1, round(total / SHARD_WORDS))
-    found = cut.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards))).groupBy("shard").applyInArrow(shard_repeats, SCHEMA)
-    return found.repartition("doc_id").sortWithinPartitions("doc_id", "first_word", "n_words", "source_id", "source_word").mapInArrow(merged, SCHEMA)
+def thinned(cut: DataFrame) -> DataFrame:
+    """(owner, doc_id, row_key, start, words) of hot owners' segments: runs of windows that an owner's segments hold twice.
 
+    A window is known by two hashes; the filter may let others through, which the index then rules out.
+    """
+    spark = cut.sparkSession
+
+    def windows(batches):
+        for b in batches:
+            owner = b.column(0).to_numpy()
+            for k, raw in enumerate(b.column(4)):
+                words = np.frombuffer(raw.as_buffer(), np.uint64)
+                if len(words) >= LEAST:
+                    x, y = _windows(words)
+                    yield pa.RecordBatch.from_arrays([pa.array(core.mix(x ^ core.mix(owner[k : k + 1].view(np.uint64))).view(np.int64)), pa.array(y.view(np.int64))], ["x", "y"])
+
+    counts = cut.mapInArrow(windows, "x bigint, y bigint").groupBy("x", "y").agg(F.count("*").alias("n"))
+    twice, path = core.table(counts.where("n > 1").select("x"))
+    known = spark.sparkContext.broadcast(core.bloom(twice))  # 32 MB at most
+    core.drop_table(spark, path)
+
+    def runs(batches):
+        for b in batches:
+            owner, doc, key, start = (b.column(k).to_numpy() for k in range(4))
+            out: list[tuple] = []
+            for k, raw in enumerate(b.column(4)):
+                words = np.frombuffer(raw.as_buffer(), np.uint64)
+                if len(words) < LEAST:
+                    continue
+                x, _ = _windows(words)
+                x = core.mix(x ^ core.mix(owner[k : k + 1].view(np.uint64)))
+                hit = core.may_hold(known.value, x)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+                out += [(int(owner[k]), int(doc[k]), int(key[k]), int(start[k] + a), words[a : z + LEAST - 1].tobytes()) for a, z in zip(edge[::2], edge[1::2])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["owner", "doc_id", "row_key", "start", "words"])
+
+    return cut.mapInArrow(runs, _SEGMENT)
+
+
+def without_copies(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(each distinct run of an owner at its first place, all other places as repeats of it)."""
+    place = F.struct("doc_id", "row_key", "start")
+    firsts, _ = core.table(runs.groupBy("owner", "words").agg(F.min(place).alias("at")).select("owner", "at.*", "words"))
+    name = [F.xxhash64("owner", "words").alias("x"), F.xxhash64("words", F.lit(1)).alias("y")]
+    # A run in very many documents meets its first place in several tasks, by a salt.
+    salts = 16
+    small = firsts.select(*name, F.col("doc_id").alias("source_id"), F.col("row_key").alias("source_key"), F.col("start").alias("source_word"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    large = runs.select(*name, "doc_id", "row_key", F.col("start").alias("first_word"), (F.octet_length("words") / 8).cast("int").alias("n_words"), F.pmod(F.xxhash64("doc_id", "row_key", "start"), F.lit(salts)).cast("int").alias("salt"))
+    copies = large.join(small, ["x", "y", "salt"]).where("doc_id <> source_id OR row_key <> source_key OR first_word <> source_word")
+    return firsts, copies.select("doc_id", "row_key", "first_word", "n_words", "source_id", "source_word")
+
+
+# --- over documents ----------------------------------------------------------------
 
-SCHEMA = "doc_id bigint, first_word int, n_words int, source_id bigint, source_word int"
+
+def merged(batches):
+    """Of rows sorted by (doc_id, row_key, first_word): overlapping or touching intervals of a document joined; the longest names the source."""
+    names = ["doc_id", "row_key", "first_word", "n_words", "source_id", "source_word"]
+    held = [np.zeros(0, np.int64)] * 6
+
+    def join(c, last: bool):
+        """(joined intervals, rows of the last document, which may go on)"""
+        doc, key, at, n = c[:4]
+        new_doc = np.ones(len(doc), bool)
+        new_doc[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+        rest = len(doc) if last else int(np.flatnonzero(new_doc)[-1])
+        c, new_doc = [x[:rest] for x in c], new_doc[:rest]
+        kept = [x[rest:] for x in held_rows]
+        if not rest:
+            return None, kept
+        doc, key, at, n = c[:4]
+        far = np.cumsum(new_doc) * np.int64(1 << 40)  # documents lie apart, so one running maximum does for all
+        end = np.maximum.accumulate(far + at + n)
+        new = new_doc.copy()
+        new[1:] |= (far + at)[1:] > end[:-1]
+        begin = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        size = np.maximum.reduceat(end, begin) - (far + at)[begin]
+        best = np.lexsort((np.arange(len(n)), -n, run))[begin]  # the first of the longest of each run
+        out = [doc[begin], key[begin], at[begin], size, c[4][best], c[5][best]]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(out, (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32))], names), kept
+
+    for b in batches:
+        held_rows = [np.append(h, b.column(k).to_numpy().astype(np.int64)) for k, h in enumerate(held)]
+        if len(held_rows[0]):
+            done, held = join(held_rows, False)
+            if done is not None:
+                yield done
+    if len(held[0]):
+        held_rows = held
+        yield join(held, True)[0]
+
+
+def keyed_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, first_word, n_words, source_id, source_word): runs of words that stand at an earlier place, too."""
+    spark = docs.sparkSession
+    base = core.one_of_equal_rows(core.id_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL"))
+    base = base.select("doc_id", core.row_key().alias("row_key"), "text").withColumn("key", F.xxhash64("doc_id", "row_key"))
+    marks = base.select("key", "text").mapInArrow(anchors, "h bigint, key bigint, pos int")
+    both = marks.repartition("h").sortWithinPartitions("h", "key", "pos").mapInArrow(shared_anchors, "key bigint, pos int, owner bigint")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = both.select("key", F.lit(0).alias("kind"), "pos", "owner", none("long").alias("doc_id"), none("long").alias("row_key"), none("string").alias("text"))
+    rows = rows.unionByName(base.select("key", F.lit(1).alias("kind"), none("int").alias("pos"), none("long").alias("owner"), "doc_id", "row_key", "text"))
+    cut, cut_path = core.table(rows.repartition("key").sortWithinPartitions("key", "kind", "pos").mapInArrow(segments, _SEGMENT))
+    sizes = cut.groupBy("owner").agg(F.sum(F.octet_length("words")).alias("n"))
+    total, n_hot = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 8 * SHARD_WORDS)).head()
+    copies = None
+    if n_hot:
+        hot, hot_path = core.table(sizes.where(F.col("n") > 8 * SHARD_WORDS).select("owner"))
+        hot = F.broadcast(hot) if n_hot <= 500_000 else hot
+        runs, runs_path = core.table(thinned(cut.join(hot, "owner", "left_semi")))
+        firsts, copies = without_copies(runs)
+        copies, _ = core.table(copies)
+        cut, path = core.table(cut.join(hot, "owner", "left_anti").unionByName(firsts))
+        core.drop_table(spark, cut_path, hot_path, runs_path)
+        total = cut.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).head()[0]
+    shards = max(1, round(total / 8 / SHARD_WORDS))
+    found = cut.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards))).groupBy("shard").applyInArrow(shard_repeats, _KEYED)
+    if copies is not None:
+        found = found.unionByName(copies)
+    return found.repartition("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key", "first_word", "n_words", "source_id", "source_word").mapInArrow(merged, _KEYED)
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, first_word, n_words, source_id, source_word) of all repeats."""
+    return keyed_repeats(docs).drop("row_key")
 
 
 def _without(text: pa.Array, cuts: pa.Array) -> pa.Array:
     """Texts without the given (first word, words) runs and the white space behind them."""
-    out = []
-    for t, c in zip(text, cuts.to_pylist()):
-        if not c or t.as_py() is None:
-            out.append(t.as_py())
+    out, of = [], cuts.to_pylist()
+    raw_texts = text.cast(pa.large_binary())
+    for t, c in zip(raw_texts, of):
+        raw = t.as_py()
+        if not c or raw is None:
+            out.append(raw)
             continue
-        raw = t.as_py().encode()
         buf = np.frombuffer(raw, np.uint8)
         starts, _, _ = core.words(buf, np.array([0, len(buf)]))
-        bounds, parts, at = np.append(starts, len(raw)), [], 0
-        for x in sorted(c, key=lambda x: x["first_word"]):
-            a, z = min(x["first_word"], len(starts)), min(x["first_word"] + x["n_words"], len(starts))
-            parts.append(raw[at : bounds[a]])
-            at = int(bounds[z])
-        out.append(b"".join([*parts, raw[at:]]).decode())
-    return pa.array(out, pa.string())
+        c = np.array(sorted((x["first_word"], x["first_word"] + x["n_words"]) for x in c))
+        bounds = np.append(starts, len(raw))
+        gone = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(gone, bounds[np.minimum(c[:, 0], len(starts))], 1)
+        np.add.at(gone, bounds[np.minimum(c[:, 1], len(starts))], -1)
+        out.append(buf[np.cumsum(gone[:-1]) == 0].tobytes())
+    return pa.array(out, pa.binary()).view(pa.string())
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose their repeats, the first occurrence stays; a document of which nothing is left goes.
 
-    n_chars follows where the table has it; all other columns stay as they are.
+    Of equal rows one stays.  n_chars follows where the table has it; all other columns stay as they are.
     """
-    cuts = repeats(docs).groupBy(F.col("doc_id").alias("__al_id")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("__al_cuts"))
-    cuts, _ = core.table(cuts)
+    since = core.mark()
+    cuts = keyed_repeats(docs).groupBy(F.col("doc_id").alias("__al_id"), F.col("row_key").alias("__al_key")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("__al_cuts"))
+    cuts, path = core.table(cuts)
+    core.release(spark, since, keep=(path,))
     # Documents without repeats keep their rows untouched.
-    on = F.col("doc_id").cast("long") == F.col("__al_id")
+    docs = core.one_of_equal_rows(docs)
+    on = (F.col("doc_id").cast("long") == F.col("__al_id")) & (core.row_key() == F.col("__al_key"))
     joined = docs.join(cuts, on, "left")
     without = arrow_udf(_without, "string")
     done = joined.withColumn("__al_text", F.when(F.col("__al_cuts").isNull(), F.col("text").cast("string")).otherwise(without(F.when(F.col("__al_cuts").isNotNull(), F.col("text").cast("string")), "__al_cuts")))

@@ -4,7 +4,7 @@ A byte-level BPE splits a text before it merges, and never inside or across the
 single blank or newline between two ASCII non-blanks or letters of the Latin-1 block.  Texts are
 therefore cut there, each Arrow batch's distinct chunks are found by one C++ dictionary encoding,
 and only those reach the tokenizer.  The ids equal those of
-encoding the texts whole.
+encoding the texts whole.  What isn't UTF-8 in a text counts as U+FFFD.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ class Encoder:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Ids of each text; 0 for null."""
         out = np.zeros(len(texts), np.int64)
-        for at, n, buf, off in core.slices(texts, SLICE):
+        for at, n, buf, off in core.slices(core.valid_utf8(texts), SLICE):
             c = Chunks(buf, off)
             _, first = self.distinct(c.values)
             out[at : at + n] = core.per_row(np.diff(first)[c.code], c.first)
@@ -119,7 +119,7 @@ class Encoder:
 
     def slices(self, texts: pa.Array, limit: int = SLICE):
         """(first row, rows, ids, first id of each row plus the total) of consecutive slices."""
-        for at, n, buf, off in core.slices(texts, limit):
+        for at, n, buf, off in core.slices(core.valid_utf8(texts), limit):
             c = Chunks(buf, off)
             flat, first = self.distinct(c.values)
             lens = np.diff(first)[c.code]

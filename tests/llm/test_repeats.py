@@ -86,8 +86,40 @@ def test_backward_search_counts_occurrences():
                 lo, hi = fm.step(np.array([c]), lo, hi)
             at = [i for i in range(len(s) - n + 1) if s[i : i + n] == p.tolist()]
             assert hi[0] - lo[0] == len(at)
-            if at:
-                assert fm.earliest(lo, hi)[0] == at[0]
+
+
+def test_contexts_are_the_windows():
+    rng = np.random.default_rng(4)
+    text = np.append(rng.integers(1, 3, 300), 0)
+    for depth in (1, 3, 7):
+        order, new = repeats.contexts(text, depth)
+        keys = [tuple(text[i : i + depth]) for i in order]
+        assert keys == sorted(keys) and new.tolist() == [k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]
+
+
+def test_hot_owners(spark, monkeypatch):
+    """Every owner is hot: windows that an owner has once are left out, equal runs are indexed once, and the result is the same."""
+    monkeypatch.setattr(repeats, "SHARD_WORDS", 100)
+    texts = corpus()
+    got = repeats.repeats(table_of(spark, texts)).collect()
+    assert covered(got) == brute([(i + 1, t) for i, t in enumerate(texts)])
+
+
+def test_one_doc_id_with_two_texts(spark, tiny):
+    p, q = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(200))
+    docs = table_of(spark, [(1, f"a {p} b"), (2, f"c {p} d"), (2, q), (3, q), (3, q)])
+    left = sorted((r.doc_id, r.text) for r in repeats.without_repeats(spark, docs, tiny).collect())
+    assert left == [(1, f"a {p} b"), (2, "c d"), (2, q)]
+
+
+def test_a_hot_passage_and_a_very_long_text(spark):
+    rng = random.Random(9)
+    p = [f"p{i}" for i in range(70)]
+    texts = [" ".join([f"u{rng.random()}" for _ in range(20)] + p + [f"u{rng.random()}" for _ in range(20)]) for _ in range(300)]
+    long = [f"w{rng.randrange(50)}" for _ in range(9000)]
+    texts += [" ".join(long), " ".join(long[100:8000] + p), "bad " + p[0]]
+    got = covered(repeats.repeats(table_of(spark, texts)).collect())
+    assert got == brute([(i + 1, t) for i, t in enumerate(texts)])
 
 
 def test_odd_rows(spark, odd, none, tiny):
