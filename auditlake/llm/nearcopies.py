@@ -5,15 +5,16 @@ its words).  Texts of equal sets are collapsed first, exactly.  Every other set
 (coordinate, minimum hash) tokens, so that a token is shared with probability J.  A run's root
 samples ``BRANCH`` = 1 / threshold coordinates, by the run's seed, and a set goes to the bucket of its token at each;
 a bucket of more than ``SMALL`` sets is split again on coordinates sampled by its path, and
-small ones are compared by brute force, as are those that splitting no longer shrinks, by pivots.  The number of runs follows from
-the target recall at the threshold.  Buckets of more than ``HOT`` sets are split as tables, before any task holds one.
+small ones are compared by brute force, as are those that splitting no longer shrinks.  The number of runs follows from
+the target recall at the threshold.  Buckets of more than ``HOT`` sets are split as tables, before any task holds one; what
+splitting doesn't shrink below that is dealt to blocks, and every two blocks meet in a task of their own.
 
-Compared means: the share of equal one-byte coordinates is high enough that J >= threshold isn't
-ruled out; each such pair then has its exact Jaccard similarity computed from the texts.  Verified
-pairs and equal sets give the groups (connected components), so a group of k copies costs k rows, not k * k.
+Compared means: the share of equal one-byte coordinates isn't ``MARGIN`` below the threshold (which a pair at the threshold
+is with a chance of 3e-5); each such pair then has its exact Jaccard similarity computed from the texts.  ``pairs`` has all of
+them.  Pairs and equal sets give the groups (connected components); equal texts are never expanded into pairs.
 
-Defined results: null and empty texts and null doc_ids are in no group; repeated rows count as one
-document; ties: a group is named after its least doc_id; an empty table gives no groups; extra columns are never read.
+Defined results: null and empty texts and null doc_ids are in no group; rows of one doc_id with different texts are documents of
+their own; equal rows count once; ties: a group is named after its least doc_id; an empty table gives no groups; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -32,10 +33,8 @@ from auditlake.llm.quality import _LOWER
 
 NGRAM, THRESHOLD, RECALL = 3, 0.5, 0.95
 COORDINATES, SMALL, DEPTH, HOT = 64, 256, 6, 50_000
-#: A pair is verified unless its sketch is this far below the threshold (2.6 standard deviations at J = 0.5).
-MARGIN = 0.16
-#: What is so alike to a pivot joins its crowd, and meets other crowds only where the pivots aren't surely one group.
-SURE = 0.85
+#: A pair is verified unless its sketch is this far below the threshold (4 standard deviations at J = 0.5).
+MARGIN = 0.25
 _SEEDS = core.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -78,7 +77,7 @@ def sketches(batches, threshold: float, recall: float):
     roots = core.mix(np.arange(1, n_runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     at_root = sampled(roots, threshold)
     for b in batches:
-        for at, n, buf, off in core.slices(b.column(1), 2 << 20):
+        for at, n, buf, off in core.slices(b.column(2), 2 << 20):
             grams, first = shingles(buf, off)
             some = np.flatnonzero(np.diff(first) > 0)
             if not len(some):
@@ -94,8 +93,8 @@ def sketches(batches, threshold: float, recall: float):
             keys = np.stack([core.mix(roots[r] ^ low[:, i] + np.uint64(i)) for r in range(n_runs) for i in dict.fromkeys(at_root[r])], 1)
             sketch = np.ascontiguousarray((low & np.uint64(255)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(at, n).take(pa.array(some)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), core.list_array(keys.view(np.int64).ravel(), np.arange(len(some) + 1) * keys.shape[1], pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                ["doc_id", "h1", "h2", "keys", "sketch"],
+                [b.column(0).slice(at, n).take(pa.array(some)), b.column(1).slice(at, n).take(pa.array(some)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), core.list_array(keys.view(np.int64).ravel(), np.arange(len(some) + 1) * keys.shape[1], pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                ["doc_id", "row_key", "h1", "h2", "keys", "sketch"],
             )
 
 
@@ -109,16 +108,15 @@ def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _all_pairs(size: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs a < b within runs, a bounded number at a time."""
-    total = np.cumsum(size * (size - 1) // 2)
+    one = np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    more = np.repeat(begin + size, size) - one - 1
+    total = np.cumsum(more)
     at = 0
-    while at < len(size):
-        base = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, base + 1_000_000, "right")))
-        s, g = size[at:to], begin[at:to]
-        one = np.repeat(g, s) + np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
-        more = np.repeat(g + s, s) - one - 1
-        a = np.repeat(one, more)
-        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(more) - more, more)
+    while at < len(one):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, "right")))
+        o, m = one[at:to], more[at:to]
+        a = np.repeat(o, m)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
         at = to
 
 
@@ -146,73 +144,78 @@ def bucket_pairs(sketch: np.ndarray, path: int, least: float, threshold: float,
                         yield p[a], p[b]
         if all(np.bincount(sketch[:, i], minlength=1).max() <= 0.9 * n for i in sampled(np.array([path], np.uint64), threshold)[0]):
             return
-    covered = np.zeros(n, bool)
-    every, crowds = np.arange(n), []
-    for p in range(n):  # pivots: each that no earlier one surely resembles meets all others
-        if not covered[p]:
-            alike = _alike(sketch, np.full(n, p), every)
-            ok = (alike >= least) & (every != p)
-            own = (alike >= SURE) & ~covered
-            covered |= own
-            own[p] = False
-            if own.any():
-                crowds.append((p, np.flatnonzero(own)))
-            yield np.full(int(ok.sum()), p), every[ok]
-    heads = np.array([p for p, _ in crowds], int)
-    for k, (p, own) in enumerate(crowds[:-1]):  # of two crowds whose pivots aren't surely one group, all members meet
-        apart = np.flatnonzero(_alike(sketch, np.full(len(crowds) - k - 1, p), heads[k + 1 :]) < threshold + MARGIN) + k + 1
-        other = np.concatenate([crowds[j][1] for j in apart] or [np.zeros(0, int)])
-        step = max(1, 1_000_000 // max(1, len(other)))
-        for at in range(0, len(own) if len(other) else 0, step):
-            a = np.repeat(own[at : at + step], len(other))
-            b = np.tile(other, len(own[at : at + step]))
-            ok = _alike(sketch, a, b) >= least
-            yield a[ok], b[ok]
+    for a, b in _all_pairs(np.array([n]), np.array([0])):
+        ok = _alike(sketch, a, b) >= least
+        yield a[ok], b[ok]
 
 
 def candidates(batches, threshold: float):
-    """Candidate pairs of rows sorted by key; a bucket may go over any number of batches."""
+    """Candidate pairs of rows (key, depth, side, rep, sketch) sorted by key; a bucket may go over any number of batches.
+
+    Side 0 is a whole bucket; of a bucket in blocks, sides 1 and 2 meet, and side 3 is a block that meets itself.
+    """
     least = threshold - MARGIN
 
-    def pairs(keys, ids, sketch):
+    def pairs(keys, depth, side, ids, sketch):
         cut = np.flatnonzero(np.diff(keys)) + 1
         begin = np.concatenate([[0], cut]).astype(np.int64)
         size = np.diff(np.append(begin, len(keys)))
-        few = (size > 1) & (size <= SMALL)
+        few = (size > 1) & (size <= SMALL) & (side[begin] == 0)
         for a, b in _all_pairs(size[few], begin[few]):
             ok = _alike(sketch, a, b) >= least
             yield ids[a[ok]], ids[b[ok]]
-        for k in np.flatnonzero(size > SMALL):
+        for k in np.flatnonzero((size > 1) & ~few):
             own = slice(begin[k], begin[k] + size[k])
-            got = list(bucket_pairs(sketch[own], int(keys[begin[k]]) & (2**62 - 1), least, threshold))
-            a, b = np.concatenate([g[0] for g in got] or [np.zeros(0, int)]), np.concatenate([g[1] for g in got] or [np.zeros(0, int)])
-            yield ids[own][a], ids[own][b]
+            s, i = sketch[own], ids[own]
+            if side[begin[k]] == 0:
+                for a, b in bucket_pairs(s, int(keys[begin[k]]) & (2**62 - 1), least, threshold, int(depth[begin[k]])):
+                    yield i[a], i[b]
+            elif side[begin[k]] == 3:
+                for a, b in _all_pairs(np.array([len(i)]), np.array([0])):
+                    ok = _alike(s, a, b) >= least
+                    yield i[a[ok]], i[b[ok]]
+            else:
+                one, two = np.flatnonzero(side[own] == 1), np.flatnonzero(side[own] == 2)
+                step = max(1, 1_000_000 // max(1, len(two)))
+                for at in range(0, len(one) if len(two) else 0, step):
+                    a, b = np.repeat(one[at : at + step], len(two)), np.tile(two, len(one[at : at + step]))
+                    ok = _alike(s, a, b) >= least
+                    yield i[a[ok]], i[b[ok]]
 
     held: list = []
-    known: np.ndarray = np.zeros((0, 2), np.int64)
 
-    def out(keys, ids, sketch):
-        got = [np.stack([np.minimum(a, b), np.maximum(a, b)], 1) for a, b in pairs(keys, ids, sketch) if len(a)]
+    def out(*rows):
+        got, n = [], 0
+        for a, b in pairs(*rows):
+            if len(a):
+                got.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                n += len(a)
+            if n > 2_000_000:
+                got, n = [np.unique(np.concatenate(got), axis=0)], 0
+                yield from sent(got.pop())
         if got:
-            p = np.unique(np.concatenate(got), axis=0)
-            for k in range(0, len(p), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(p[k : k + (1 << 18), 0]), pa.array(p[k : k + (1 << 18), 1])], ["a", "b"])
+            yield from sent(np.unique(np.concatenate(got), axis=0))
+
+    def sent(p):
+        for k in range(0, len(p), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(p[k : k + (1 << 18), 0]), pa.array(p[k : k + (1 << 18), 1])], ["a", "b"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        sketch = np.frombuffer(b.column(2).buffers()[2], np.uint8)[: b.num_rows * COORDINATES + b.column(2).offset * COORDINATES][b.column(2).offset * COORDINATES :].reshape(-1, COORDINATES)
+        keys, depth, side, ids = (b.column(k).to_numpy() for k in range(4))
+        col = b.column(4)
+        sketch = np.frombuffer(col.buffers()[2], np.uint8)[col.offset * COORDINATES : (col.offset + len(col)) * COORDINATES].reshape(-1, COORDINATES)
+        rows = (keys, depth, side, ids, sketch)
         if held and held[-1][0][-1] != keys[0]:
             yield from out(*(np.concatenate(x) for x in zip(*held)))
             held = []
-        last = int(np.searchsorted(keys != keys[-1], False)) if keys[0] != keys[-1] else 0
         last = len(keys) - int((keys[::-1] != keys[-1]).argmax()) if keys[0] != keys[-1] else 0
         if last:
-            held.append((keys[:last], ids[:last], sketch[:last]))
+            held.append(tuple(x[:last] for x in rows))
             yield from out(*(np.concatenate(x) for x in zip(*held)))
             held = []
-        held.append((keys[last:].copy(), ids[last:].copy(), sketch[last:].copy()))
+        held.append(tuple(x[last:].copy() for x in rows))
     if held:
         yield from out(*(np.concatenate(x) for x in zip(*held)))
 
@@ -267,61 +270,71 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-#: A filter of so many ids is 32 MB; more ids aren't filtered by one, and the join alone does the work.
-FILTER_IDS = 1 << 24
-
-
 def may_be_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose doc_id isn't among the wanted, by a Bloom filter of 16 bits and 4 hashes an id.
+    """``docs`` without most rows whose (doc_id, row_key) isn't among the wanted, by a Bloom filter of bounded size.
 
     It keeps the texts of unwanted rows out of the shuffle of the join that follows.
     """
-    n = wanted.select("doc_id").distinct().count()
-    if n > FILTER_IDS:
-        return docs
-    words = 1 << max(4, int(n * 16 / 64).bit_length())
-    bits = words * 64
-    spots = wanted.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(4)])).alias("b"))
-    got = spots.groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(b, 64) AS int))")).alias("m")).toArrow()
-    table = np.zeros(words, np.int64)
-    table[got.column("w").to_numpy()] = got.column("m").to_numpy()
-    known = table.view(np.uint64)
+    known = docs.sparkSession.sparkContext.broadcast(core.bloom(wanted.select(F.xxhash64("doc_id", "row_key").alias("x"))))
 
     @arrow_udf("boolean")
-    def there(*spots: pa.Array) -> pa.Array:
-        out = None
-        for s in spots:
-            b = s.to_numpy(zero_copy_only=False)
-            hit = (known[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
-            out = hit if out is None else out & hit
-        return pa.array(out)
-
-    return docs.where(there(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(4)]))
-
-
-def verified(docs: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of pairs of representatives that the runs brought together and exact similarity confirms."""
-    level = reps.select(F.explode("keys").alias("key"), "rep", "sketch")
-    depth = 1
-    while depth < DEPTH:  # a bucket that no task should hold is split as a table
-        hot = level.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")
-        hot, path = core.table(hot)
-        if not hot.limit(1).count():
-            core.drop_table(docs.sparkSession, path)
-            break
-
-        def deeper(batches):
-            for b in batches:
-                keys, sketch = b.column(0).to_numpy().view(np.uint64), np.stack([np.frombuffer(x.as_py(), np.uint8) for x in b.column(2)])
-                for i in sampled(keys, threshold).T:
-                    yield pa.RecordBatch.from_arrays([pa.array(core.mix(keys ^ (i.astype(np.uint64) << np.uint64(8)) ^ sketch[np.arange(len(i)), i].astype(np.uint64)).view(np.int64)), b.column(1), b.column(2)], ["key", "rep", "sketch"])
-
-        level = level.join(hot, "key", "left_anti").unionByName(level.join(hot, "key", "left_semi").mapInArrow(deeper, "key bigint, rep bigint, sketch binary"))
-        depth += 1
-    found = level.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: candidates(it, threshold), "a bigint, b bigint").distinct()
-    pairs, _ = core.table(found)
+    def there(x: pa.Array) -> pa.Array:
+        return pa.array(core.may_hold(known.value, x.to_numpy(zero_copy_only=False)))
+
+    return docs.where(there(F.xxhash64("doc_id", "row_key")))
+
+
+def split(reps: DataFrame, threshold: float) -> DataFrame:
+    """(key, depth, side, rep, sketch): the buckets of all runs, none of which holds more than ``HOT`` sets."""
+    spark, empty = reps.sparkSession, "key bigint, depth int, side int, rep bigint, sketch binary"
+    level, done = reps.select(F.explode("keys").alias("key"), "rep", "sketch"), None
+    for depth in range(1, DEPTH + 1):
+        hot, path = core.table(level.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+        some = hot.limit(1).count()
+        small = (level.join(hot, "key", "left_anti") if some else level).select("key", F.lit(depth).alias("depth"), F.lit(0).alias("side"), "rep", "sketch")
+        done = small if done is None else done.unionByName(small)
+        if not some:
+            core.drop_table(spark, path)
+            return done
+        large = level.join(hot, "key")
+        if depth < DEPTH:
+
+            def deeper(batches):
+                for b in batches:
+                    keys, sketch = b.column(0).to_numpy().view(np.uint64), np.stack([np.frombuffer(x.as_py(), np.uint8) for x in b.column(2)])
+                    at = sampled(keys, threshold)
+                    for k, i in enumerate(at.T):  # a coordinate that is sampled twice counts once
+                        row = np.flatnonzero((at[:, :k] != i[:, None]).all(1))
+                        key = core.mix(keys[row] ^ (i[row].astype(np.uint64) << np.uint64(8)) ^ sketch[row, i[row]].astype(np.uint64))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row))], ["key", "rep", "sketch"])
+
+            level, _ = core.table(large.select("key", "rep", "sketch").mapInArrow(deeper, "key bigint, rep bigint, sketch binary"))
+        else:  # blocks of at most HOT / 2 sets; a set goes to as many tasks as there are blocks
+
+            def dealt(batches):
+                for b in batches:
+                    keys, reps_ = b.column(0).to_numpy().view(np.uint64), b.column(1)
+                    blocks = -(-2 * b.column(3).to_numpy() // HOT) + 1
+                    mine = (core.mix(reps_.to_numpy().view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+                    row = np.repeat(np.arange(len(keys)), blocks)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    me, take = mine[row], pa.array(row)
+                    pair = np.minimum(me, other) * (blocks[row] + 1) + np.maximum(me, other)
+                    side = np.where(me == other, 3, np.where(me < other, 1, 2)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(core.mix(keys[row] + core.mix(pair.astype(np.uint64))).view(np.int64)), pa.array(np.full(len(row), DEPTH, np.int32)), pa.array(side), reps_.take(take), b.column(2).take(take)], ["key", "depth", "side", "rep", "sketch"])
+
+            done = done.unionByName(large.select("key", "rep", "sketch", "n").mapInArrow(dealt, empty))
+    return done
+
+
+def verified(docs: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, str]:
+    """The table (a, b, jaccard) of pairs of representatives that the runs brought together and exact similarity confirms."""
+    spark, since = docs.sparkSession, core.mark()
+    found = split(reps, threshold).repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: candidates(it, threshold), "a bigint, b bigint").distinct()
+    pairs, pairs_path = core.table(found)
+    core.release(spark, since, keep=(pairs_path,))
     # Pairs about one least neighbour are verified together, so that a text is read for few parts; a large
-    # neighbourhood goes to as many parts as it has blocks of texts.
+    # neighbourhood goes to as many parts as it has pairs of blocks of texts.
     ends = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("near"))
     crowd = ends.groupBy("near").agg(F.count("*").alias("n"))
     n_parts = max(1, pairs.count() // 4000, ends.count() // 1500)
@@ -330,37 +343,72 @@ def verified(docs: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float
     block = lambda c: F.pmod(F.xxhash64(c), blocks)
     keyed = keyed.select("a", "b", F.when(F.col("n") > 1500, F.xxhash64("near", block("a"), block("b"))).otherwise(F.pmod(F.xxhash64("near"), F.lit(n_parts)).cast("long")).alias("part"))
     keyed, _ = core.table(keyed)
-    wanted, _ = core.table(keyed.select("part", F.col("a").alias("doc_id")).union(keyed.select("part", "b")).distinct())
-    text = may_be_in(docs, wanted).join(wanted.hint("merge"), "doc_id").groupBy("part", "doc_id").agg(F.min("text").alias("text"))
-    rows = text.select("part", F.lit(0).alias("kind"), F.col("doc_id").alias("one"), F.lit(None).cast("long").alias("two"), "text")
+    core.drop_table(spark, pairs_path)
+    who = keyed.select("part", F.col("a").alias("rep")).union(keyed.select("part", "b")).distinct()
+    wanted, _ = core.table(who.join(reps.select("rep", "doc_id", "row_key"), "rep"))
+    text = may_be_in(docs, wanted.select("doc_id", "row_key").distinct()).join(wanted.hint("merge"), ["doc_id", "row_key"]).groupBy("part", "rep").agg(F.min("text").alias("text"))
+    rows = text.select("part", F.lit(0).alias("kind"), F.col("rep").alias("one"), F.lit(None).cast("long").alias("two"), "text")
     rows = rows.unionByName(keyed.select("part", F.lit(1).alias("kind"), F.col("a").alias("one"), F.col("b").alias("two"), F.lit(None).cast("string").alias("text")))
-    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: exact(it, threshold), "a bigint, b bigint, jaccard double")
+    near, path = core.table(rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: exact(it, threshold), "a bigint, b bigint, jaccard double"))
+    core.release(spark, since, keep=(path,))
+    return near, path
+
+
+def classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets of documents, classes of equal sets, pairs of classes), all written.
+
+    sets (doc_id, row_key, h1, h2); classes (rep, doc_id, row_key, n, h1, h2), where rep numbers a class and doc_id is its least; pairs (a, b, jaccard) of reps.
+    """
+    spark, since = docs.sparkSession, core.mark()
+    base = core.id_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", core.row_key().alias("row_key"), "text")
+    sets, sets_path = core.table(base.mapInArrow(lambda it: sketches(it, threshold, recall), "doc_id bigint, row_key bigint, h1 bigint, h2 bigint, keys array<bigint>, sketch binary"))
+    least = sets.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row_key", "keys", "sketch")).alias("m"), F.count("*").alias("n"))
+    reps, reps_path = core.table(least.select(F.monotonically_increasing_id().alias("rep"), "m.*", "n", "h1", "h2"))
+    near, near_path = verified(base, reps, threshold)
+    core.release(spark, since, keep=(sets_path, reps_path, near_path))
+    return sets.select("doc_id", "row_key", "h1", "h2"), reps.drop("keys", "sketch"), near
+
+
+def pairs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard) of all pairs of classes of equal sets that are similar; a class goes by its least doc_id."""
+    _, reps, near = classes(docs, threshold, recall)
+    name = lambda c: reps.select(F.col("rep").alias(c), F.col("doc_id").alias(f"doc_id_{c}"))
+    return near.join(name("a"), "a").join(name("b"), "b").select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b"), "jaccard")
+
+
+def keyed_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, row_key, group_id, group_key, links, copies) of every document that has a near copy; written.
+
+    The group goes by its least (doc_id, row_key).  links counts the other texts that are similar to this one, copies the documents of an equal set besides it.
+    """
+    spark, since = docs.sparkSession, core.mark()
+    sets, reps, near = classes(docs, threshold, recall)
+    linked = near.select("a").union(near.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "rep")
+    label = components(near.select("a", "b")).withColumnRenamed("id", "rep")
+    named = reps.join(label, "rep", "left").join(linked, "rep", "left").where("n > 1 OR label IS NOT NULL")
+    named, named_path = core.table(named.select("h1", "h2", "doc_id", "row_key", "n", F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    heads = named.groupBy("label").agg(F.min(F.struct("doc_id", "row_key")).alias("head"))
+    # Equal rows (doc_id, row_key) count once.
+    members = sets.join(named.join(heads, "label").select("h1", "h2", "n", "links", F.col("head.doc_id").alias("group_id"), F.col("head.row_key").alias("group_key")), ["h1", "h2"])
+    members = members.groupBy("doc_id", "row_key").agg(*[F.min(c).alias(c) for c in ("group_id", "group_key", "links", "n")], F.count("*").alias("often"))
+    out, path = core.table(members.select("doc_id", "row_key", "group_id", "group_key", "links", (F.col("n") - F.col("often")).alias("copies")).where("copies > 0 OR links > 0"))
+    core.release(spark, since, keep=(path,))
+    return out
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the group's least doc_id."""
-    base = core.id_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sets, _ = core.table(base.mapInArrow(lambda it: sketches(it, threshold, recall), "doc_id bigint, h1 bigint, h2 bigint, keys array<bigint>, sketch binary"))
-    reps, _ = core.table(sets.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("m")).select(F.col("m.doc_id").alias("rep"), "m.keys", "m.sketch", "h1", "h2"))
-    near, _ = core.table(verified(base, sets, reps, threshold).select("a", "b"))
-    same = sets.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    return components(near.unionByName(same)).select(F.col("id").alias("doc_id"), F.col("label").alias("group_id"))
+    return keyed_groups(docs, threshold, recall).select("doc_id", "group_id")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group only the document of least doc_id stays, and one of repeated rows (same doc_id and text)."""
-    gone = groups(docs).where("doc_id <> group_id").select("doc_id")
-    left = docs.join(gone.withColumnRenamed("doc_id", "__al_gone"), F.col("doc_id").cast("long") == F.col("__al_gone"), "left_anti")
-    often = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__al_often")).agg(F.count("*").alias("__al_n")).where("__al_n > 1").select("__al_often")
-    often, _ = core.table(often)
-    if not often.limit(1).count():
-        return left
-    key = F.col("doc_id").cast("long") == F.col("__al_often")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy(F.lit(1)))
-    return left.join(often, key, "left_anti").unionByName(left.join(often, key, "left_semi").withColumn("__al_nth", nth).where("__al_nth = 1").drop("__al_nth"))
+    """Pipeline stage: of each group only the row of least (doc_id, row_key) stays, and one of equal rows."""
+    gone = keyed_groups(docs).where("doc_id <> group_id OR row_key <> group_key").select(F.col("doc_id").alias("__al_gone"), F.col("row_key").alias("__al_key"))
+    on = (F.col("doc_id").cast("long") == F.col("__al_gone")) & (core.row_key() == F.col("__al_key"))
+    return core.one_of_equal_rows(docs.join(gone, on, "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_id, n, doc_ids) of every group of near copies."""
-    g = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return g.groupBy("group_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+    """(doc_id, class_id, links, copies) of every document that has a near copy: its group's least doc_id, how many other texts it is
+    linked to, and how many documents equal it."""
+    return keyed_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.col("group_id").alias("class_id"), "links", "copies")

@@ -77,18 +77,50 @@ def test_documents_table(spark, small):
     assert kept == {i for i, _ in rows} - {i for i, g in got.items() if i != g}
 
 
-def test_pivots_leave_no_pair_out():
-    """Two members of two crowds resemble each other, their pivots don't."""
-    rng = np.random.default_rng(2)
-    n = nearcopies.COORDINATES
-    p, x0 = rng.integers(0, 128, n).astype(np.uint8), rng.integers(128, 256, n).astype(np.uint8)
-    x0[20:35] = p[20:35]
-    c, x = p.copy(), x0.copy()
-    c[:9] = x[:9] = 255 - np.arange(9)
-    sketch = np.array([p, c, x0, x])
-    least = nearcopies.THRESHOLD - nearcopies.MARGIN
-    found = {tuple(sorted((int(i), int(j)))) for a, b in nearcopies.bucket_pairs(sketch, 5, least, nearcopies.THRESHOLD, nearcopies.DEPTH) for i, j in zip(a, b)}
-    assert found == {(0, 1), (2, 3), (1, 3)}
+def test_all_links_between_different_texts(spark):
+    texts = corpus(5, 6, 100)
+    docs = table_of(spark, [*texts, *texts[:40]])
+    _, want = brute([(i + 1, t) for i, t in enumerate(texts)])
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in nearcopies.pairs(docs).collect()}
+    sets = {i + 1: grams(t) for i, t in enumerate(texts)}
+    equal = {(a, b) for a, b in want if sets[a] == sets[b]}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(frozenset(s), i)
+    want = {tuple(sorted((first[frozenset(sets[a])], first[frozenset(sets[b])]))) for a, b in want - equal}
+    assert set(got) <= want and len(got) >= 0.95 * len(want)
+    for (a, b), j in got.items():
+        assert abs(j - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 1e-12
+    links = {}
+    for a, b in got:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    for r in nearcopies.keyed_groups(docs).collect():
+        i = r.doc_id if r.doc_id <= len(texts) else r.doc_id - len(texts)
+        assert r.links == links.get(first[frozenset(sets[i])], 0)
+        assert r.copies == sum(s == sets[i] for s in sets.values()) - 1 + sum(sets[k + 1] == sets[i] for k in range(40))
+
+
+def test_blocks_of_a_bucket_that_nothing_splits(spark, monkeypatch):
+    """90 nearly equal sets stay together at every depth: blocks of them meet pair by pair."""
+    monkeypatch.setattr(nearcopies, "HOT", 30)
+    rng = random.Random(3)
+    base = [f"v{i}" for i in range(400)]
+    texts = [" ".join(varied(rng, base, 0.002)) for _ in range(90)]
+    _, want = brute([(i + 1, t) for i, t in enumerate(texts)])
+    sets = {i + 1: grams(t) for i, t in enumerate(texts)}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(frozenset(s), i)
+    want = {tuple(sorted((first[frozenset(sets[a])], first[frozenset(sets[b])]))) for a, b in want if sets[a] != sets[b]}
+    got = {(r.doc_id_a, r.doc_id_b) for r in nearcopies.pairs(table_of(spark, texts)).collect()}
+    assert got == want
+
+
+def test_one_doc_id_with_two_texts(spark, tiny):
+    t = " ".join(f"t{i}" for i in range(30))
+    docs = table_of(spark, [(1, t), (2, t), (2, "another text that nothing resembles at all"), (3, t + " and"), (3, t + " and")])
+    kept = sorted((r.doc_id, r.text) for r in nearcopies.one_of_each(spark, docs, tiny).collect())
+    assert kept == [(1, t), (2, "another text that nothing resembles at all")]
 
 
 def test_odd_rows(spark, odd, none, tiny):
