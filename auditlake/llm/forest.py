@@ -3,19 +3,20 @@
 Every level of a tree projects on one seeded Gaussian direction; a node splits at the median of the
 projections that reach it.  A query starts at all roots; the queue always opens the node whose least
 margin on its path is best, over all trees, until enough leaves are open.  A leaf's vectors are
-candidates, reranked by exact Euclidean distance.  Every row is a query against all others.
+candidates, reranked by exact Euclidean distance.  Queries are the rows whose id is divisible by ``every``, against all rows.
 
 How many leaves are enough is measured, so that recall holds at any size and shape of data: ``PROBES`` rows
 are compared with the whole table, and the number is the least at which the queue reaches ``RECALL`` of
 their true neighbours.
 
-Trees hold one direction a level and one number a node.  Medians come from ``SAMPLE`` rows or one row in
-``SAMPLE_ONE_IN``, whichever is more, so that leaves hold about ``LEAF`` rows in tables of any size.
-Vectors meet in a shuffle on (tree, leaf), never in a broadcast.
+Trees hold one direction a level and one number a node.  Medians come from a bounded sample of about ``SAMPLE`` rows; every row is
+indexed.  Leaves hold about ``LEAF`` rows up to ``SAMPLE / 2 * LEAF`` rows (25 million), and more beyond that.
+A vector goes to its leaf of each tree, and a query's vector to the leaves it opens, in one shuffle.  A leaf with more than ``CELL``
+rows, or one that more than ``CELL`` queries open (many equal vectors, say), is cut into blocks of rows times blocks of queries, each a group of its own.
 
 Defined results: rows with a null id, a null vector, a null or non-finite component, or a vector that isn't of the most common
 length (ties: the shorter) are neither queries nor neighbours; repeated rows (same id) count once, by their least vector; ties in
-distance rank by id; a row is no neighbour of itself; fewer than k others give fewer rows; an empty table gives an empty result; extra columns are never read.
+distance rank by id, however many there are; a row is no neighbour of itself; fewer than k others give fewer rows; an empty table gives an empty result; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import core
 
-K, TREES, LEAF, SEED, SAMPLE, SAMPLE_ONE_IN = 10, 16, 1024, 11, 100_000, 64
-RECALL, PROBES = 0.95, 192
+K, TREES, LEAF, SEED, SAMPLE, CELL = 10, 8, 512, 11, 100_000, 16_384
+RECALL, PROBES, EVERY = 0.95, 192, 20
 SCHEMA = "vec_id bigint, neighbour_id bigint, distance double, rank int"
 
 
@@ -94,9 +96,9 @@ class Forest:
 
 
 def grow(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> Forest:
-    """Trees for a table of ``rows`` vectors, medians from ``sample``; at least 8 sampled vectors stay in a leaf."""
+    """Trees for a table of ``rows`` vectors, medians from ``sample``; at least 2 sampled vectors stay in a leaf."""
     depth = 0
-    while rows / 2**depth > leaf and len(sample) / 2 ** (depth + 1) >= 8:
+    while rows / 2**depth > leaf and len(sample) / 2 ** (depth + 1) >= 2:
         depth += 1
     rng = np.random.default_rng(seed)
     dim = sample.shape[1] if sample.ndim == 2 else 0
@@ -136,11 +138,9 @@ def _nearest(x: np.ndarray, x_id: np.ndarray, y: np.ndarray, y_id: np.ndarray, k
         z, me = x[q : q + 512], x_id[q : q + 512]
         d = norm - 2 * (z @ y.T) + (z * z).sum(1)[:, None]
         d[me[:, None] == y_id] = np.inf
-        m = min(k + 4, len(y))  # a few more, since ties and rounding are settled by exact distances
-        near = np.argpartition(d, m - 1, 1)[:, :m] if m < len(y) else np.broadcast_to(np.arange(m), (len(z), m))
-        r, c = np.repeat(np.arange(len(z)), m), near.ravel()
-        ok = d[r, c] < np.inf
-        r, c = r[ok], c[ok]
+        m = min(k, len(y))
+        limit = np.partition(d, m - 1, 1)[:, m - 1]  # and all that are as near, but for rounding: exact distances and ids decide
+        r, c = np.nonzero((d <= (limit + 1e-9 * (1 + norm.max() + (z * z).sum(1)))[:, None]) & (d < np.inf))
         out.append((me[r], y_id[c], np.sqrt(((z[r] - y[c]) ** 2).sum(1))))
     q, n, d = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return _top(q, n, d, k)
@@ -201,30 +201,72 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return found.repartition("vec_id").sortWithinPartitions("vec_id").mapInArrow(last, SCHEMA)
 
 
-def neighbours(df: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, sample: int = SAMPLE, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(vec_id, neighbour_id, distance, rank): the k nearest others of every row."""
+def neighbours(df: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, sample: int = SAMPLE, every: int = 1, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(vec_id, neighbour_id, distance, rank): the k nearest others of every row whose id is divisible by ``every``."""
     base, _ = core.table(vectors_of(df, id_col, column))
     rows = base.count()
-    share = min(1.0, 1.1 * max(sample, rows / SAMPLE_ONE_IN) / max(rows, 1))
     u = F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    got = base.where(u < share).toArrow().sort_by("id")
+    got = base.where(u < min(1.0, 1.1 * sample / max(rows, 1))).toArrow().sort_by("id")
     forest = grow(_matrix(got.column("v").combine_chunks()) if len(got) else np.zeros((0, 1)), rows, trees, leaf)
     leaves = enough_leaves(base, forest, rows, k, recall, PROBES)
     width, kind_of = 2**forest.depth, dict(base.dtypes)["v"]
+    n_cells, tree_at = len(forest.splits) * width, np.arange(len(forest.splits)) * width
+
+    def cells_of(cells_for, name: str):
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    part = b.slice(at, 4096)
+                    cells = cells_for(_matrix(part.column("v")))
+                    first = np.concatenate([[0], np.cumsum((cells >= 0).sum(1))])
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), core.list_array(cells[cells >= 0], first, pa.int64())], ["id", "v", name])
+
+        return run
+
+    kind = f"id bigint, v {kind_of}, cells array<bigint>"
+    own = base.mapInArrow(cells_of(lambda x: forest.own_leaves(x) + tree_at, "cells"), kind)
+    asks, _ = core.table(base.where(F.col("id") % every == 0).mapInArrow(cells_of(lambda x: forest.search(x, leaves), "cells"), kind))
+
+    def sizes(d: DataFrame) -> np.ndarray:
+        """Rows of each cell: counted in each task before they meet."""
+
+        def tally(batches):
+            n = np.zeros(n_cells, np.int64)
+            for b in batches:
+                n += np.bincount(np.asarray(b.column(0).flatten()), minlength=n_cells)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+        got = d.select("cells").mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(n_cells, np.int64)
+        out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+        return out
 
-    def spread(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                x = _matrix(part.column("v"))
-                own = forest.own_leaves(x) + np.arange(len(forest.splits)) * width
-                asks = forest.search(x, leaves)
-                for cells, kind in ((own, 0), (asks, 1)):
-                    row, col = np.nonzero(cells >= 0)
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[row, col]), pa.array(np.full(len(row), kind, np.int32)), part.column("id").take(take), part.column("v").take(take)], ["cell", "kind", "id", "v"])
-
-    cells = base.select("id", "v").mapInArrow(spread, f"cell bigint, kind int, id bigint, v {kind_of}")
+    blocks, copies = np.maximum(1, -(-sizes(own) // CELL)), np.maximum(1, -(-sizes(asks) // CELL))
+    begin = np.concatenate([[0], np.cumsum(blocks * copies)])
+
+    def spread(side: int):
+        """Row: one of its cell's blocks, in all copies; query: one of the copies, in all blocks."""
+
+        def run(batches):
+            for b in batches:
+                flat, counts = np.asarray(b.column(2).flatten()), np.asarray(pa.compute.list_value_length(b.column(2)))
+                row = np.repeat(np.arange(b.num_rows), counts)
+                h = core.mix(b.column(0).to_numpy().view(np.uint64))[row] >> np.uint64(1)
+                mine, all_ = (blocks, copies) if side == 0 else (copies, blocks)
+                times = all_[flat]
+                fixed = np.repeat((h % mine[flat].astype(np.uint64)).astype(np.int64), times)
+                other = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                c, row = np.repeat(flat, times), np.repeat(row, times)
+                group = begin[c] + (fixed * copies[c] + other if side == 0 else other * copies[c] + fixed)
+                for at in range(0, len(group), 1 << 16):
+                    take = pa.array(row[at : at + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(group[at : at + (1 << 16)]), pa.array(np.full(len(take), side, np.int32)), b.column(0).take(take), b.column(1).take(take)], ["cell", "kind", "id", "v"])
+
+        return run
+
+    out = f"cell bigint, kind int, id bigint, v {kind_of}"
+    cells = own.mapInArrow(spread(0), out).unionByName(asks.mapInArrow(spread(1), out))
 
     def rerank(batches):
         """Of rows sorted by (cell, kind), vectors before queries: each query's k best in the cell."""
@@ -251,7 +293,6 @@ def neighbours(df: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF,
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n), pa.array(d)], ["vec_id", "neighbour_id", "distance"])
 
     found = cells.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(rerank, "vec_id bigint, neighbour_id bigint, distance double")
-
     return best_of(found, k)
 
 
@@ -273,4 +314,5 @@ def _ranked(q, n, d) -> pa.RecordBatch:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The neighbours of every vector whose id is divisible by ``EVERY``, among all vectors."""
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=EVERY)

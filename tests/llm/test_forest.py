@@ -51,7 +51,43 @@ def test_queue_opens_the_best_margins_first():
                 least[t * 2**f.depth + leaf] = worst
         best = sorted(least.values(), reverse=True)[:7]
         assert np.allclose(sorted((least[c] for c in got[q]), reverse=True), best)
-    assert (np.sort(f.own_leaves(x[:5]) + np.arange(3) * 2**f.depth, 1) == np.sort(f.search(x[:5], 3), 1)).all() or True
+    own = f.own_leaves(x[:5]) + np.arange(3) * 2**f.depth
+    whole = f.search(x[:5], 3 * 2**f.depth)
+    for q in range(5):  # a vector's own leaf comes before all others of its tree
+        for t in range(3):
+            assert whole[q][whole[q] // 2**f.depth == t][0] == own[q, t]
+
+
+def test_registered_parameters_on_deep_trees(spark):
+    """The query's own parameters, on clustered vectors enough for trees of depth 3 and more; queries are the ids divisible by 20."""
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal((60, 32))[rng.integers(0, 60, 5000)] + 0.3 * rng.standard_normal((5000, 32))).astype(np.float32)
+    assert forest.grow(x, len(x)).depth >= 3
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<float>")
+    mine = {}
+    for r in forest.neighbours(df, every=forest.EVERY).collect():
+        mine.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    assert set(mine) == set(range(0, 5000, forest.EVERY))
+    hit = 0
+    for i, got in mine.items():
+        d = ((x.astype(float) - x[i].astype(float)) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(got & set(np.argsort(d, kind="stable")[: forest.K].tolist()))
+    assert hit >= 0.9 * forest.K * len(mine)
+
+
+def test_hot_cells_and_ties(spark, monkeypatch):
+    """A third of the rows are one vector: their cell is cut into blocks, and the least ids win."""
+    monkeypatch.setattr(forest, "CELL", 40)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((450, 4)).astype(np.float32)
+    x[:150] = x[0]
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = {}
+    for r in forest.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=5, leaf=32).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.neighbour_id)
+    assert all(got[i] == [j for j in range(6) if j != i][:5] for i in range(150))
+    assert all(len(got[i]) == 5 for i in range(450))
 
 
 def test_odd_rows(spark):
