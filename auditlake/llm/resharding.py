@@ -8,8 +8,9 @@ potentials); all moves of a byte cost alike, so they share a hub vertex and the
 Then ``assign`` rounds the flow to whole blocks: a file that fits its shard stays whole, of any other the blocks
 that fill its shard best stay, and the rest go where the flow sends them or else where they fit best.  If blocks don't fit so, they
 are cut smaller, down to single rows.  The driver holds the weight and first row of each block.
-Files that lose or gain a block are rewritten below a folder of their own, row by row
-where they are read, without a shuffle of texts up to ``BROADCAST_BLOCKS`` blocks; all others stay as they are.
+Rows find their places by binary search among runs of blocks with one destination: one run a file that stays whole, and few of
+any other, so what goes to the workers grows with the files and with what moves, not with the rows.  Shards that lose or
+gain a block are rewritten below a folder of their own, one file each, by one shuffle of their rows alone; all others stay as they are.
 
 Defined results: a null text weighs 0 bytes; repeated rows are rows like any other, and a null doc_id and
 further columns go along unchanged; an empty table has no blocks and gives an empty result; a total capacity below
@@ -23,16 +24,16 @@ import heapq
 import math
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from auditlake.llm import core
 
 #: A block's and a new shard's bytes in the registered query.
 UNIT_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
-#: The blocks' places (24 bytes each) are broadcast up to so many; beyond, rows meet theirs by an even shuffle on (file, row).
-BROADCAST_BLOCKS = 1_000_000
 #: Of a file that its shard doesn't hold, the choice among so many lightest blocks is exact.
 EXACT = 14
 
@@ -176,13 +177,14 @@ def default_capacities(weights: list[list[int]], shard_bytes: int) -> list[int]:
 def reshard(spark: SparkSession, path: str, capacities: list[int] | None = None, unit_bytes: int = UNIT_BYTES, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str, list[str]]:
     """(manifest, folder of rewritten shards, files left as they are).
 
-    The manifest has (doc_id, old_shard, new_shard, block, moved) of every row; the folder has ``__al_new_shard=N`` with
-    the whole of each affected new shard.  Capacities default to shards of ``shard_bytes``, or of a longer text.
+    The manifest has (doc_id, old_shard, new_shard, row, moved, shard) of every row: its number in its old file, and the file or folder
+    that holds it now.  The folder has ``__al_new_shard=N`` with the whole of each affected new shard as one file.  Capacities default to
+    shards of ``shard_bytes``, or of a longer text.
     """
     docs = spark.read.parquet(path)
     names = sorted(f.rsplit("/", 1)[-1] for f in docs.inputFiles())
     file, row = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), F.col("_metadata.row_index")
-    light, _ = core.table(docs.select(file.alias("file"), row.alias("row"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes")))
+    light, light_path = core.table(docs.select(file.alias("file"), row.alias("row"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes")))
     before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     number, unit = {f: i for i, f in enumerate(names)}, unit_bytes
     while True:
@@ -203,32 +205,36 @@ def reshard(spark: SparkSession, path: str, capacities: list[int] | None = None,
         if unit <= 1:
             raise ValueError(f"no place found for all rows in capacities of {sum(room)} bytes")
         unit = max(1, unit // 16)
-    new = [j for p in places for j in p]
-    plan = pa.table({"file": blocks.column("file"), "old_shard": pa.array(old, pa.int32()), "first_row": blocks.column("first_row"), "block": blocks.column("block"), "new_shard": pa.array(new, pa.int32())})
-    mapped = spark.createDataFrame(plan) if len(plan) else spark.createDataFrame([], "file string, old_shard int, first_row long, block long, new_shard int")
-    # one row a file: where its blocks begin and where each goes
-    of_file, _ = core.table(mapped.groupBy("file", "old_shard").agg(F.array_sort(F.collect_list(F.struct("first_row", "block", "new_shard"))).alias("starts")))
+    core.drop_table(spark, light_path)
+    new, old_of, first_row = np.array([j for p in places for j in p], np.int64), np.array(old, np.int64), blocks.column("first_row").to_numpy()
+    begins = np.ones(len(new), bool)
+    begins[1:] = (np.diff(old_of) != 0) | (np.diff(new) != 0)
+    code, to = (old_of[begins] << 40) + first_row[begins], new[begins].astype(np.int32)
     touched = {x for i, p in enumerate(places) for j in p if j != i for x in (i, j)}
     left = [f for i, f in enumerate(names) if i not in touched and weights[i]]
+    number_of = F.broadcast(spark.createDataFrame([(f, i) for f, i in number.items()], "__al_file string, __al_old int"))  # a row for each file
+
+    @arrow_udf("int")
+    def place(file_number: pa.Array, row_number: pa.Array) -> pa.Array:
+        at = (file_number.to_numpy().astype(np.int64) << 40) + row_number.to_numpy()
+        return pa.array(to[np.searchsorted(code, at, "right") - 1])
 
     def placed(columns: list) -> DataFrame:
-        base = docs.select(*columns, file.alias("__al_file"), row.alias("__al_row"))
-        places = of_file.select(F.col("file").alias("__al_file"), F.col("old_shard").alias("__al_old"), F.col("starts").alias("__al_starts"))
-        nth = F.aggregate("__al_starts", F.lit(0), lambda k, s: k + F.when(s["first_row"] <= F.col("__al_row"), 1).otherwise(0))
-        found = lambda d: d.withColumn("__al_at", F.element_at("__al_starts", nth)).drop("__al_starts")
-        if len(plan) <= BROADCAST_BLOCKS:
-            return found(base.join(F.broadcast(places), "__al_file"))
-        rows = found(light.select(F.col("file").alias("__al_file"), F.col("row").alias("__al_row")).join(places, "__al_file"))
-        return base.join(rows.hint("merge"), ["__al_file", "__al_row"])
+        base = docs.select(*columns, file.alias("__al_file"), row.alias("__al_row")).join(number_of, "__al_file")
+        return base.withColumn("__al_new_shard", place.asNondeterministic()("__al_old", "__al_row"))
 
     folder = f"{core.shared_dir(spark)}/auditlake-shards-{uuid.uuid4().hex}"
     if touched:
         own = [F.col(f"`{c}`") for c in docs.columns]
-        rewritten = placed(own).withColumn("__al_new_shard", F.col("__al_at.new_shard")).where(F.col("__al_new_shard").isin(sorted(touched)))
+        affected = spark.createDataFrame([(j,) for j in sorted(touched)], "__al_new_shard int")
+        rewritten = placed(own).join(F.broadcast(affected), "__al_new_shard", "left_semi")
+        rewritten = rewritten.repartition("__al_new_shard").sortWithinPartitions("__al_new_shard", "__al_old", "__al_row")
         rewritten.select(*own, "__al_new_shard").write.partitionBy("__al_new_shard").parquet(folder)
+    where = F.when(F.col("__al_new_shard").isin(sorted(touched)), F.concat(F.lit(f"{folder}/__al_new_shard="), F.col("__al_new_shard"))) if touched else F.lit(None).cast("string")
     manifest = placed([F.col("doc_id").cast("long").alias("doc_id")]).select(
-        "doc_id", F.col("__al_old").alias("old_shard"), F.col("__al_at.new_shard").alias("new_shard"), F.col("__al_at.block").alias("block"), (F.col("__al_at.new_shard") != F.col("__al_old")).alias("moved")
-    )
+        "doc_id", F.col("__al_old").alias("old_shard"), F.col("__al_new_shard").alias("new_shard"), F.col("__al_row").alias("row"), (F.col("__al_new_shard") != F.col("__al_old")).alias("moved"),
+        F.coalesce(where, F.concat(F.lit(f"{path.rstrip('/')}/"), F.col("__al_file"))).alias("shard"),
+    )
     return manifest, folder, left
 
 

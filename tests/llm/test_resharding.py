@@ -36,9 +36,7 @@ def test_too_little_room():
         resharding.solve([3], [1, 1])
 
 
-@pytest.mark.parametrize("limit", [resharding.BROADCAST_BLOCKS, 0])
-def test_files_are_rewritten(spark, odd, tmp_path, limit, monkeypatch):
-    monkeypatch.setattr(resharding, "BROADCAST_BLOCKS", limit)
+def test_files_are_rewritten(spark, odd, tmp_path):
     path = str(tmp_path / "t.parquet")
     odd.repartitionByRange(5, "doc_id").write.parquet(path)
     longest = odd.agg(F.max(F.octet_length("text"))).head()[0]
@@ -53,6 +51,23 @@ def test_files_are_rewritten(spark, odd, tmp_path, limit, monkeypatch):
     assert sorted(key(new) + key(kept)) == key(odd)
     size = {r[0]: r[1] for r in new.groupBy("__al_new_shard").agg(F.sum(F.octet_length("text"))).collect()} if any(r.moved for r in m) else {}
     assert all((v or 0) <= cap for v in size.values())
+    files = [f.rsplit("/", 2)[1] for f in new.inputFiles()] if any(r.moved for r in m) else []
+    assert len(files) == len(set(files)) == len({r.new_shard for r in m if r.shard.startswith(folder)})
+    assert {r.shard.rsplit("/", 1)[1] for r in m if not r.shard.startswith(folder)} == set(left)
+
+
+def test_long_texts_at_default_capacities(spark, tmp_path):
+    """Texts of 300 KB and 9 MB beside short ones: places for all, and no shard beyond what the defaults give."""
+    texts = ["x" * 20_000] * 400 + ["y" * 300_000, "z" * 9_000_000, None]
+    path = str(tmp_path / "t.parquet")
+    table_of(spark, texts).coalesce(1).write.parquet(path)
+    manifest, folder, _ = resharding.reshard(spark, path, shard_bytes=4 << 20)
+    m = manifest.collect()
+    assert len(m) == 403 and sorted(r.row for r in m) == list(range(403))
+    size = {}
+    for r in m:
+        size[r.new_shard] = size.get(r.new_shard, 0) + len(texts[r.doc_id - 1] or "")
+    assert all(v <= (4 << 20) for v in size.values() if v < 9_000_000) and spark.read.parquet(folder).count() == 403
 
 
 def test_empty_table(spark, none, tmp_path):
