@@ -112,3 +112,15 @@ def test_null_ids(spark):
     d = spark.createDataFrame([(None, "some words here")], "doc_id bigint, text string")
     assert dropout.decode(dropout.encode(d)).head().text == "some words here"
     assert rans.decode_corpus(rans.encode_corpus(d)).select(F.size("ids")).head()[0] == len(whole_ids(["some words here"])[0])
+
+
+def test_invalid_utf8_is_replaced(spark):
+    """Bytes that aren't UTF-8 count as U+FFFD in every operator that reads characters, and crash none."""
+    from auditlake.llm import dropout, lm, packing
+
+    d = spark.sql("SELECT 1L doc_id, cast(X'6120FF6220E2' AS string) text UNION ALL SELECT 2L, 'a b' UNION ALL SELECT 3L, decode(X'6120EFBFBD6220EFBFBD', 'utf-8')")
+    ids = {r.doc_id: r.ids for r in dropout.encode(d, rate=0.0).collect()}
+    assert ids[1] != ids[2] and {r.doc_id: r.text for r in dropout.decode(dropout.encode(d)).collect()} == {1: "a �b �", 2: "a b", 3: "a �b �"}
+    parts = {r.doc_id: r.ids for r in rans.decode_corpus(rans.encode_corpus(d)).collect()}
+    assert parts[1] == parts[3] and lm.score(d).count() == 3
+    assert {r.doc_id: r.n_tokens for r in packing.pack(d).collect()} == {k: len(v) for k, v in parts.items()}
