@@ -139,6 +139,9 @@ def trim() -> None:
 
 
 _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and os.path.exists("/lib/x86_64-linux-gnu/libc.so.6") else None
+if _LIBC is not None:  # numpy's temporaries come from the heap, not from fresh pages each; ``trim`` gives free memory back
+    _LIBC.mallopt(-3, 64 << 20)  # M_MMAP_THRESHOLD
+    _LIBC.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
 
 
 def slices(arr: pa.Array, limit: int = SLICE_BYTES):
