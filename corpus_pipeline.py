@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents in, packed training sequences out.
+"""The corpus pipeline: documents in, places of their token pieces in packed sequences out.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet in the shared folder and
 read again as the next one's documents.
