@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from auditlake.llm import nearcopies
+from auditlake.llm import core, nearcopies
 from tests.llm.conftest import table_of
 
 
@@ -145,3 +145,46 @@ def test_hot_buckets_are_split_as_tables(spark, monkeypatch):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.label for r in nearcopies.components(edges).collect()} == {1}
+
+
+def test_links_of_a_large_group_are_never_rows(spark, monkeypatch):
+    """300 different texts, any two of them alike: every link counts, but no table grows with their number."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 70)
+    rng, written, table = random.Random(5), [], core.table
+    base = [f"v{i}" for i in range(200)]
+    texts = [" ".join(varied(rng, base, 0.01)) + f" own{k}" for k in range(300)]
+
+    def counted(df, *more):
+        out = table(df, *more)
+        written.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(core, "table", counted)
+    got = nearcopies.keyed_groups(table_of(spark, texts)).collect()
+    _, pairs = brute([(i + 1, t) for i, t in enumerate(texts)])
+    links = {}
+    for p in pairs:
+        for i in p:
+            links[i] = links.get(i, 0) + 1
+    assert len(pairs) > 40000 and {r.doc_id: r.links for r in got} == links
+    assert max(written) <= 20 * len(texts)
+
+
+def test_overlaps_and_forest():
+    rng = np.random.default_rng(2)
+    x, y = ([np.unique(np.concatenate([rng.integers(0, 60, 20), rng.integers(0, 10**6, 50)])).astype(np.uint64) for _ in range(n)] for n in (150, 90))
+    want = np.array([[len(np.intersect1d(a, b)) for b in y] for a in x])
+    assert (nearcopies.overlaps(x, y) == want).all()
+    ok = rng.random((40, 50)) < 0.02
+    a, b = nearcopies.forest(ok, np.arange(40), 40 + np.arange(50))
+    assert all(ok[i, k - 40] for i, k in zip(a, b))
+
+    def label(one, two):
+        up = np.arange(90)
+        for _ in range(90):
+            for i, k in zip(one, two):
+                up[i] = up[k] = min(up[i], up[k])
+        return up
+
+    i, k = np.nonzero(ok)
+    assert (label(a, b) == label(i, k + 40)).all()
