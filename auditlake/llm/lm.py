@@ -7,7 +7,7 @@ their own, so that context reaches every id.  Up to 4,128 ids that occur have a
 slots by frequency, where an id has its share of the slot's count.
 
 Training reads the whole corpus: every document is cut into windows of ``WIDTH`` ids without overlap, each window goes to a
-trainer of about ``TRAINER_WINDOWS``, and each predicts every ``EACH``-th of its ids, from a seeded one on, with all ids before as context.
+trainer of about ``TRAINER_WINDOWS``, and predicts every one of its ids, with all ids before as context.
 Trainers run Adam on their own from common parameters; then the parameters are averaged by weight, and the next
 round (other windows) starts from the mean.
 
@@ -33,7 +33,7 @@ CLASSES, WIDTH, STRIDE, DIM, HIDDEN = SINGLES + GROUPS, 32, 24, 16, 16
 OWN, HASHED = 2048, 2048
 #: Rows of the input table besides: one that stays zero, and a document's start.
 ZERO, BOS = OWN + HASHED, OWN + HASHED + 1
-#: Each window predicts one id in so many; rounds of averaging; windows of a trainer and round.
+#: A batch's gradient is summed over so many parts, which stay in cache; rounds of averaging; windows of a trainer and round.
 EACH, ROUNDS, TRAINER_WINDOWS = 8, 2, 200_000
 SEED, RATE, BATCH = 5, 6e-3, 1024
 SCHEMA = "doc_id bigint, n_tokens bigint, bits double, bits_per_token double"
@@ -149,10 +149,13 @@ def nats(p: dict[str, np.ndarray], z: np.ndarray, head: np.ndarray, slot: np.nda
     return out
 
 
-def loss_and_gradient(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, at: np.ndarray, head: np.ndarray, slot: np.ndarray, on: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the positions ``at`` (n, m) where ``on``, and its gradient; head and slot (n, m) are the ids at them."""
-    (n, m), t = at.shape, hidden(p, one, two, at)
-    weight = (on / max(1, on.sum())).astype(t["z"].dtype).ravel()
+def loss_and_gradient(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, at: np.ndarray | int, head: np.ndarray, slot: np.ndarray, on: np.ndarray, total: int | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the positions ``at`` (n, m), or from the first on, where ``on``, and its gradient; head and slot (n, m) are the ids at them.
+
+    Of a part of a batch, ``total`` is how many positions of the batch are on.
+    """
+    (n, m), t = head.shape, hidden(p, one, two, at)
+    weight = (on / max(1, on.sum() if total is None else total)).astype(t["z"].dtype).ravel()
     head, slot, z = head.ravel(), slot.ravel(), t["z"]
 
     def softmax(logits: np.ndarray, target: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -187,7 +190,11 @@ def loss_and_gradient(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray
     dk = np.matmul(ds.transpose(0, 2, 1), t["q"]).reshape(-1, DIM)
     g["Q"], g["K"], g["V"] = t["xq"].T @ dq, t["x"].T @ dk, t["x"].T @ dv
     dx = dk @ p["K"].T + dv @ p["V"].T
-    dx[(np.arange(n)[:, None] * WIDTH + at).ravel()] += dy + dq @ p["Q"].T  # a window's positions differ
+    own = dy + dq @ p["Q"].T
+    if isinstance(at, int):
+        dx.reshape(n, WIDTH, DIM)[:, at:] += own.reshape(n, m, DIM)
+    else:
+        dx[(np.arange(n)[:, None] * WIDTH + at).ravel()] += own  # a window's positions differ
     g["P"] = dx.reshape(n, WIDTH, DIM).sum(0)
     twice = np.flatnonzero((two != ZERO).ravel())
     row, dx = np.concatenate([one.ravel(), two.ravel()[twice]]), np.concatenate([dx, dx[twice]])
@@ -199,7 +206,7 @@ def train(x: np.ndarray, c: Codes, windows: np.ndarray, seed: int) -> np.ndarray
     """One pass of Adam over windows (n, WIDTH + 1) of ids, in seeded order; ``END`` stands before a document's start and after its end."""
     p = unflat(x)
     rng = np.random.default_rng(seed)
-    order, phase = rng.permutation(len(windows)), rng.integers(0, EACH, len(windows))
+    order = rng.permutation(len(windows))
     x = flat(p)
     m, v, g_, t_ = (np.zeros(len(x), np.float32) for _ in range(4))
     p, at_param = {}, 0
@@ -211,15 +218,16 @@ def train(x: np.ndarray, c: Codes, windows: np.ndarray, seed: int) -> np.ndarray
     for step in range(steps):
         take = order[step * batch : (step + 1) * batch]
         w = windows[take].astype(np.int64)
-        at = phase[take][:, None] + np.arange(0, WIDTH, EACH)
-        target = w[np.arange(len(w))[:, None], at + 1]
-        on = target != END
-        if not on.any():
+        total = int((w[:, 1:] != END).sum())
+        if not total:
             continue
-        _, g = loss_and_gradient(p, c.one[w[:, :-1]], c.two[w[:, :-1]], at, c.head[target].astype(np.int64), c.slot[target].astype(np.int64), on)
+        g_[:] = 0
+        for part in np.array_split(w, -(-len(w) * EACH // BATCH)):
+            before, target = part[:, :-1], part[:, 1:]
+            _, g = loss_and_gradient(p, c.one[before], c.two[before], 0, c.head[target].astype(np.int64), c.slot[target].astype(np.int64), target != END, total)
+            g_ += np.concatenate([g[k].ravel() for k in SHAPES], out=t_)
         rate = np.float32(RATE * (1 - 0.9 * step / steps))
         fix1, fix2 = np.float32(1 / (1 - 0.9 ** (step + 1))), np.float32(1 / (1 - 0.99 ** (step + 1)))
-        np.concatenate([g[k].ravel() for k in SHAPES], out=g_)
         np.subtract(g_, m, out=t_)
         t_ *= np.float32(0.1)
         m += t_

@@ -129,3 +129,32 @@ def test_odd_rows(spark, odd, none):
     assert lm.score(none).count() == 0
     same = lm.score(table_of(spark, ["the same words again"] * 5)).collect()
     assert len(same) == 5 and len({round(r.bits, 6) for r in same}) == 1
+
+
+def test_every_id_of_every_window_is_a_target(monkeypatch):
+    rng = np.random.default_rng(6)
+    c, real, seen = some_codes(rng), lm.loss_and_gradient, []
+
+    def counted(p, one, two, at, head, slot, on, *more):
+        seen.append(on.sum())
+        return real(p, one, two, at, head, slot, on, *more)
+
+    monkeypatch.setattr(lm, "loss_and_gradient", counted)
+    w = rng.integers(0, 300, (700, lm.WIDTH + 1)).astype(np.uint16)
+    w[::3, 10:] = lm.END
+    lm.train(lm.flat(lm.initial()), c, w, 0)
+    assert sum(seen) == (w[:, 1:] != lm.END).sum()
+
+
+def test_gradients_of_parts_add_up():
+    rng = np.random.default_rng(7)
+    c, p = some_codes(rng), {k: v.astype(np.float64) for k, v in lm.initial(2).items()}
+    w = rng.integers(0, 600, (6, lm.WIDTH + 1))
+    on = rng.random((6, lm.WIDTH)) < 0.8
+    args = lambda own: (c.one[w[own, :-1]], c.two[w[own, :-1]])
+    of = lambda own: (c.head[w[own, 1:]].astype(int), c.slot[w[own, 1:]].astype(int), on[own])
+    every = np.tile(np.arange(lm.WIDTH), (6, 1))
+    _, whole = lm.loss_and_gradient(p, *args(slice(0, 6)), every, *of(slice(0, 6)))
+    parts = [lm.loss_and_gradient(p, *args(own), 0, *of(own), int(on.sum()))[1] for own in (slice(0, 2), slice(2, 6))]
+    for k in lm.SHAPES:
+        assert np.allclose(whole[k], parts[0][k] + parts[1][k], atol=1e-12)
