@@ -597,7 +597,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group only the row of least (doc_id, row_key) stays, and one of equal rows."""
     gone = keyed_groups(docs).where("doc_id <> group_id OR row_key <> group_key").select(F.col("doc_id").alias("__al_gone"), F.col("row_key").alias("__al_key"))
     on = (F.col("doc_id").cast("long") == F.col("__al_gone")) & (core.row_key() == F.col("__al_key"))
-    return core.one_of_equal_rows(docs.join(gone, on, "left_anti"))
+    docs = core.one_of_equal_rows(docs)  # equal rows stay or go together
+    perhaps = among(gone)(F.col("doc_id").cast("long"), core.row_key())
+    # Texts that stay aren't shuffled, however many go.
+    return docs.where(~perhaps).unionByName(docs.where(perhaps).join(gone, on, "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

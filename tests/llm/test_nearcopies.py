@@ -188,3 +188,15 @@ def test_overlaps_and_forest():
 
     i, k = np.nonzero(ok)
     assert (label(a, b) == label(i, k + 40)).all()
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tiny, monkeypatch):
+    """Of 40 texts one goes, and its group's few rows are all that the join with the rows to drop reads."""
+    gone = spark.createDataFrame([(2, 1, 7)], "doc_id bigint, group_id bigint, group_key bigint")
+    docs = table_of(spark, [" ".join(f"w{k}x{i}" for i in range(50)) for k in range(40)])
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", core.row_key().alias("k")).collect()}
+    monkeypatch.setattr(nearcopies, "keyed_groups", lambda d: gone.withColumn("row_key", F.lit(keys[2])))
+    out = nearcopies.one_of_each(spark, docs, tiny)
+    assert {r.doc_id for r in out.collect()} == set(keys) - {2}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join LeftAnti") and "there(" in plan[plan.index("Join LeftAnti"):]
