@@ -83,7 +83,7 @@ def sketches(batches, threshold: float, recall: float):
     roots = core.mix(np.arange(1, n_runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     at_root = sampled(roots, threshold)
     for b in batches:
-        for at, n, buf, off in core.slices(b.column(2), 2 << 20):
+        for at, n, buf, off in core.slices(b.column(2)):
             grams, first = shingles(buf, off)
             some = np.flatnonzero(np.diff(first) > 0)
             if not len(some):

@@ -85,7 +85,7 @@ def anchors_of(hashes: np.ndarray, first: np.ndarray, least: int = LEAST, gram:
     return at
 
 
-def word_hashes(batch_text: pa.Array, limit: int = 2 << 20):
+def word_hashes(batch_text: pa.Array, limit: int = core.SLICE_BYTES):
     for at, n, buf, off in core.slices(batch_text, limit):
         starts, ends, first = core.words(buf, off)
         yield at, n, core.span_hashes(buf, starts, ends), first

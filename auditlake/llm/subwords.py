@@ -24,6 +24,8 @@ BPE_FILE = "byte_bpe_50k.tiktoken"
 VOCABULARY = 50_256
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SLICE = 4 << 20
+#: Where only numbers of ids are wanted: a quarter of the memory for a fifth more time.
+COUNT_SLICE = 1 << 20
 _SOLID = np.zeros(256, bool)
 _SOLID[33:127] = True
 
@@ -111,7 +113,7 @@ class Encoder:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Ids of each text; 0 for null."""
         out = np.zeros(len(texts), np.int64)
-        for at, n, buf, off in core.slices(core.valid_utf8(texts), SLICE):
+        for at, n, buf, off in core.slices(core.valid_utf8(texts), COUNT_SLICE):
             c = Chunks(buf, off)
             _, first = self.distinct(c.values)
             out[at : at + n] = core.per_row(np.diff(first)[c.code], c.first)

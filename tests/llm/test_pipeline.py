@@ -1,8 +1,11 @@
 """The pipeline's stages against brute force, each on its own input, and the registry."""
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from auditlake.llm import langid, packing, quality, queries
-from tests.llm import test_nearcopies, test_packing, test_repeats
+from auditlake.llm import langid, nearcopies, packing, quality, queries, repeats, subwords
+from tests.llm import test_langid, test_nearcopies, test_packing, test_repeats
 
 
 def test_stages_one_after_another(spark, small, tmp_path):
@@ -55,3 +58,23 @@ def test_odd_rows_through_all_stages(spark, odd, none, tiny):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, tiny)
         assert docs.count() == 0
+
+
+def test_workers_hold_arrays_of_a_small_part_of_a_batch():
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(3000)])
+    ids = pa.array(np.arange(len(texts)))
+    assert texts.nbytes > 6e6
+
+    def drained(batches):
+        for _ in batches:
+            pass
+
+    encoder = subwords.shared()
+    for kernel, most in (
+        (lambda: quality.stat_matrix(texts, np.arange(9, dtype=np.uint64)), 30),
+        (lambda: drained(nearcopies.sketches([pa.RecordBatch.from_arrays([ids, ids, texts], ["doc_id", "row_key", "text"])], 0.5, 0.95)), 30),
+        (lambda: drained(repeats.anchors([pa.RecordBatch.from_arrays([ids, texts], ["key", "text"])])), 30),
+        (lambda: encoder.counts(texts), 40),
+    ):
+        assert test_langid.peak_mb(kernel) < most
