@@ -35,6 +35,8 @@ OWN, HASHED = 2048, 2048
 ZERO, BOS = OWN + HASHED, OWN + HASHED + 1
 #: A batch's gradient is summed over so many parts, which stay in cache; rounds of averaging; windows of a trainer and round.
 EACH, ROUNDS, TRAINER_WINDOWS = 8, 2, 200_000
+#: Rows of logits at once, which stay in cache.
+ROWS = 512
 SEED, RATE, BATCH = 5, 6e-3, 1024
 SCHEMA = "doc_id bigint, n_tokens bigint, bits double, bits_per_token double"
 
@@ -109,43 +111,59 @@ def _longest(x: np.ndarray) -> float:
 
 
 def softmax_nats(logits: np.ndarray, target: np.ndarray, bound: float = np.inf) -> np.ndarray:
-    """-log softmax at the targets; overwrites the logits, none of which is beyond ``bound``."""
+    """-log softmax at the targets; overwrites the logits, none of which is beyond ``bound``, with their exponentials."""
     hit = logits[np.arange(len(logits)), target]
-    if bound > 60:
+    if not bound <= 60:
         top = logits.max(1)
         logits -= top[:, None]
         hit = hit - top
-    return np.log(np.exp(logits, out=logits).sum(1)) - hit
+    return np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)) - hit
 
 
-def by_group(head: np.ndarray):
-    """(group, numbers of its tokens) of the tokens that are in groups."""
-    there = np.flatnonzero(head >= SINGLES)
-    order = there[np.argsort(head[there], kind="stable")]
-    cut = np.flatnonzero(np.diff(head[order], prepend=-1))
-    for a, z in zip(cut, np.append(cut[1:], len(order))):
-        yield int(head[order[a]]) - SINGLES, order[a:z]
+def softmax_gradient(logits: np.ndarray, target: np.ndarray, w: np.ndarray, bound: float) -> float:
+    """Sum of -log softmax at the targets times w; the logits become its gradient."""
+    nats = softmax_nats(logits, target, bound)
+    logits *= (w / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+    logits[np.arange(len(logits)), target] -= w
+    return float(nats @ w)
+
+
+def with_ones(x: np.ndarray) -> np.ndarray:
+    """One more column, for the biases."""
+    out = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1], out[:, -1] = x, 1
+    return out
+
+
+def by_group(head: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Numbers of the tokens that are in groups, by group; (group, first, end) of each group's."""
+    head = head.astype(np.uint8, copy=False)  # such keys are sorted in linear time
+    count = np.bincount(head, minlength=CLASSES)
+    ends = np.cumsum(count[SINGLES:]).tolist()
+    order = np.argsort(head, kind="stable")[int(count[:SINGLES].sum()) :]
+    return order, [(k, a, z) for k, (a, z) in enumerate(zip([0, *ends], ends)) if z > a]
+
+
+def output_weights(p: dict[str, np.ndarray], longest: float) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Weights of classes and slots with their biases as a last row, and what no logit is beyond for inputs up to ``longest``."""
+    u, s = np.vstack([p["U"], p["u"]]), np.concatenate([p["S"], p["s"][:, None]], 1)
+    size = (longest**2 + 1) ** 0.5
+    return u, s, size * _longest(u.T), size * float(np.einsum("kds,kds->ks", s, s).max()) ** 0.5
 
 
 def nats(p: dict[str, np.ndarray], z: np.ndarray, head: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """-log p of the target classes and slots, from last-layer inputs."""
-    out, size = np.empty(len(z), z.dtype), _longest(z)
-    bound = size * _longest(p["U"].T) + float(np.abs(p["u"]).max())
-    for a in range(0, len(z), 8192):  # stays in cache
-        logits = z[a : a + 8192] @ p["U"]
-        logits += p["u"]
-        out[a : a + 8192] = softmax_nats(logits, head[a : a + 8192], bound)
-    bound = size * _longest(p["S"].transpose(0, 2, 1).reshape(-1, DIM)) + float(np.abs(p["s"]).max())
-    there = np.flatnonzero(head >= SINGLES)
-    order = there[np.argsort(head[there], kind="stable")]
-    group, zs = head[order], np.take(z, order, 0)
+    out, z1 = np.empty(len(z), z.dtype), with_ones(z)
+    u, s, most_u, most_s = output_weights(p, _longest(z))
+    for a in range(0, len(z), ROWS):
+        out[a : a + ROWS] = softmax_nats(z1[a : a + ROWS] @ u, head[a : a + ROWS], most_u)
+    order, groups = by_group(head)
+    zs, slot = np.take(z1, order, 0), slot[order]
     logits = np.empty((len(order), SLOTS), z.dtype)
-    cut = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1))
-    for lo, hi in zip(cut, np.append(cut[1:], len(order))):
-        np.matmul(zs[lo:hi], p["S"][group[lo] - SINGLES], out=logits[lo:hi])
-    logits += np.take(p["s"], group - np.uint8(SINGLES), 0)
-    for lo in range(0, len(order), 8192):
-        out[order[lo : lo + 8192]] += softmax_nats(logits[lo : lo + 8192], slot[order[lo : lo + 8192]], bound)
+    for k, a, b in groups:
+        np.matmul(zs[a:b], s[k], out=logits[a:b])
+    for a in range(0, len(order), ROWS):
+        out[order[a : a + ROWS]] += softmax_nats(logits[a : a + ROWS], slot[a : a + ROWS], most_s)
     return out
 
 
@@ -158,25 +176,26 @@ def loss_and_gradient(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray
     weight = (on / max(1, on.sum() if total is None else total)).astype(t["z"].dtype).ravel()
     head, slot, z = head.ravel(), slot.ravel(), t["z"]
 
-    def softmax(logits: np.ndarray, target: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
-        logits -= logits.max(1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(1, keepdims=True)
-        row = np.arange(len(prob))
-        loss = float(-(np.log(prob[row, target]) * w).sum())
-        prob[row, target] -= 1
-        prob *= w[:, None]
-        return loss, prob
-
-    loss, d = softmax(z @ p["U"] + p["u"], head, weight)
-    g = {"U": z.T @ d, "u": d.sum(0), "S": np.zeros_like(p["S"]), "s": np.zeros_like(p["s"])}
-    dz = d @ p["U"].T
-    for k, rows in by_group(head):
-        zk = z[rows]
-        part, d = softmax(zk @ p["S"][k] + p["s"][k], slot[rows], weight[rows])
-        loss += part
-        g["S"][k], g["s"][k] = zk.T @ d, d.sum(0)
-        dz[rows] += d @ p["S"][k].T
+    u, s, most_u, most_s = output_weights(p, _longest(z))
+    z1, loss, gu, gs, dz = with_ones(z), 0.0, np.zeros_like(u), np.zeros_like(s), np.empty_like(z)
+    for a in range(0, len(z), ROWS):
+        rows = slice(a, a + ROWS)
+        d = z1[rows] @ u
+        loss += softmax_gradient(d, head[rows], weight[rows], most_u)
+        gu += z1[rows].T @ d
+        np.matmul(d, p["U"].T, out=dz[rows])
+    order, groups = by_group(head)
+    zs, slot, weight = np.take(z1, order, 0), slot[order], weight[order]
+    d, dzs = np.empty((len(order), SLOTS), z.dtype), np.empty((len(order), DIM), z.dtype)
+    for k, a, b in groups:
+        np.matmul(zs[a:b], s[k], out=d[a:b])
+    for a in range(0, len(order), ROWS):
+        loss += softmax_gradient(d[a : a + ROWS], slot[a : a + ROWS], weight[a : a + ROWS], most_s)
+    for k, a, b in groups:
+        np.matmul(zs[a:b].T, d[a:b], out=gs[k])
+        np.matmul(d[a:b], p["S"][k].T, out=dzs[a:b])
+    dz[order] += dzs
+    g = {"U": gu[:DIM], "u": gu[DIM], "S": gs[:, :DIM], "s": gs[:, DIM]}
     g["B"] = t["f"].T @ dz
     df = (dz @ p["B"].T) * (t["f"] > 0)
     g["A"], g["a"] = t["y"].T @ df, df.sum(0)
@@ -185,7 +204,8 @@ def loss_and_gradient(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray
     dc = (dy @ p["O"].T).reshape(n, m, DIM)
     dw = np.matmul(dc, t["v"].transpose(0, 2, 1))
     dv = np.matmul(t["w"].transpose(0, 2, 1), dc).reshape(-1, DIM)
-    ds = t["w"] * (dw - (dw * t["w"]).sum(2, keepdims=True))
+    dw -= np.einsum("ijk,ijk->ij", dc, t["c"].reshape(n, m, DIM))[:, :, None]  # each row's sum of dw * w
+    ds = np.multiply(dw, t["w"], out=dw)
     dq = np.matmul(ds, t["k"]).reshape(-1, DIM) * z.dtype.type(DIM**-0.5)
     dk = np.matmul(ds.transpose(0, 2, 1), t["q"]).reshape(-1, DIM)
     g["Q"], g["K"], g["V"] = t["xq"].T @ dq, t["x"].T @ dk, t["x"].T @ dv
@@ -197,8 +217,10 @@ def loss_and_gradient(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray
         dx[(np.arange(n)[:, None] * WIDTH + at).ravel()] += own  # a window's positions differ
     g["P"] = dx.reshape(n, WIDTH, DIM).sum(0)
     twice = np.flatnonzero((two != ZERO).ravel())
-    row, dx = np.concatenate([one.ravel(), two.ravel()[twice]]), np.concatenate([dx, dx[twice]])
-    g["E"] = np.stack([np.bincount(row, dx[:, i], BOS + 1) for i in range(DIM)], 1).astype(z.dtype)
+    row, dx = np.concatenate([one.ravel(), two.ravel()[twice]]), np.concatenate([dx, dx[twice]]).T.astype(float, order="C")
+    g["E"] = np.empty((BOS + 1, DIM), z.dtype)
+    for i, x in enumerate(dx):
+        g["E"][:, i] = np.bincount(row, x, BOS + 1)
     return loss, g
 
 

@@ -158,3 +158,43 @@ def test_gradients_of_parts_add_up():
     parts = [lm.loss_and_gradient(p, *args(own), 0, *of(own), int(on.sum()))[1] for own in (slice(0, 2), slice(2, 6))]
     for k in lm.SHAPES:
         assert np.allclose(whole[k], parts[0][k] + parts[1][k], atol=1e-12)
+
+
+def a_part(c, rng, n=128):
+    """Arguments of ``loss_and_gradient`` for n windows."""
+    w = rng.integers(0, 5000, (n, lm.WIDTH + 1))
+    return c.one[w[:, :-1]], c.two[w[:, :-1]], 0, c.head[w[:, 1:]].astype(int), c.slot[w[:, 1:]].astype(int), np.ones((n, lm.WIDTH), bool)
+
+
+def test_logits_are_made_a_few_rows_at_a_time_and_of_every_target(monkeypatch):
+    """Training's time goes to passes over logits, so they have to stay in cache."""
+    rng, real, seen = np.random.default_rng(8), lm.softmax_gradient, []
+
+    def counted(logits, *more):
+        seen.append(logits.shape)
+        return real(logits, *more)
+
+    monkeypatch.setattr(lm, "softmax_gradient", counted)
+    c = some_codes(rng, 5000)
+    args = a_part(c, rng)
+    lm.loss_and_gradient(lm.initial(), *args)
+    rows = lambda width: [n for n, m in seen if m == width]
+    assert max(n for n, _ in seen) <= lm.ROWS
+    assert sum(rows(lm.CLASSES)) == 128 * lm.WIDTH and sum(rows(lm.SLOTS)) == (args[3] >= lm.SINGLES).sum()
+
+
+def test_loss_and_gradient_of_large_logits():
+    rng = np.random.default_rng(9)
+    c = some_codes(rng, 5000)
+    p = {k: v.astype(np.float64) * (4000 if k in "US" else 1) for k, v in lm.initial(2).items()}
+    args = a_part(c, rng, 20)
+    loss, g = lm.loss_and_gradient(p, *args)
+    z, head, slot = lm.hidden(p, *args[:3])["z"], args[3].ravel(), args[4].ravel()
+    x = z @ p["U"] + p["u"]
+    assert abs(x).max() > 60
+    nats = np.logaddexp.reduce(x, 1) - x[np.arange(len(x)), head]
+    for k in np.flatnonzero(head >= lm.SINGLES):
+        y = z[k] @ p["S"][head[k] - lm.SINGLES] + p["s"][head[k] - lm.SINGLES]
+        nats[k] += np.logaddexp.reduce(y) - y[slot[k]]
+    assert np.isclose(loss, nats.mean()) and np.allclose(lm.nats(p, z, head.astype(np.uint8), slot), nats)
+    assert all(np.isfinite(v).all() for v in g.values())
