@@ -34,9 +34,9 @@ OWN, HASHED = 2048, 2048
 #: Rows of the input table besides: one that stays zero, and a document's start.
 ZERO, BOS = OWN + HASHED, OWN + HASHED + 1
 #: A batch's gradient is summed over so many parts, which stay in cache; rounds of averaging; windows of a trainer and round.
-EACH, ROUNDS, TRAINER_WINDOWS = 8, 2, 200_000
-#: Rows of logits at once, which stay in cache.
-ROWS = 512
+EACH, ROUNDS, TRAINER_WINDOWS = 4, 2, 200_000
+#: Rows of logits and windows of attention at once, which stay in cache.
+ROWS, WINDOWS = 512, 128
 SEED, RATE, BATCH = 5, 6e-3, 1024
 SCHEMA = "doc_id bigint, n_tokens bigint, bits double, bits_per_token double"
 
@@ -69,37 +69,44 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def hidden(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, at: np.ndarray | int = 0) -> dict[str, np.ndarray]:
-    """Forward pass up to the last layer's input; ``one`` and ``two`` (n, WIDTH) are the inputs' rows, ``at`` (n, m) the positions wanted, or the first."""
+    """Forward pass up to the last layer's input; ``one`` and ``two`` (n, WIDTH) are the inputs' rows, ``at`` (n, m) the positions wanted, or the first.
+
+    Queries meet keys by the product of Q and K, and values leave by that of V and O, so that both are the inputs themselves; weights stay
+    exponentials ``e``, as only the sums over values, ``r``, are divided by their totals.
+    """
     n = len(one)
     h = np.take(p["E"], one, 0, mode="clip")
-    twice = np.flatnonzero(two.ravel() != ZERO)
+    twice = np.flatnonzero(two != ZERO)
     if len(twice):
         h.reshape(-1, DIM)[twice] += p["E"][two.ravel()[twice]]
     h += p["P"]
     x = h.reshape(-1, DIM)
-    kv = x @ np.concatenate([p["K"], p["V"]], 1)
-    k, v = kv[:, :DIM].reshape(n, WIDTH, DIM), kv[:, DIM:].reshape(n, WIDTH, DIM)
-    if isinstance(at, int):
-        xq, seen = h[:, at:].reshape(-1, DIM), _SEEN[at:]
-    else:
+    if not isinstance(at, int):
         xq, seen = np.take(x, (np.arange(n)[:, None] * WIDTH + at).ravel(), 0), np.take(_SEEN, at, 0)
-    q = (xq @ (p["Q"] * p["Q"].dtype.type(DIM**-0.5))).reshape(n, -1, DIM)
-    w = np.matmul(q, k.transpose(0, 2, 1))
-    # no score is beyond the product of the longest vectors; only where that is large the maximum has to go first
-    if _longest(q.reshape(-1, DIM)) * _longest(k.reshape(-1, DIM)) > 60:
-        w = np.where(seen > 0, w, -np.inf)
-        w -= w.max(2, keepdims=True)
-        np.exp(w, out=w)
     else:
-        np.exp(w, out=w)
-        w *= seen
-    w /= np.matmul(w, _ONES.astype(w.dtype))
-    c = np.matmul(w, v).reshape(-1, DIM)
-    y = xq + c @ p["O"]
+        xq, seen = (h[:, at:].reshape(-1, DIM), _SEEN[at:]) if at else (x, _SEEN)
+    q = (xq @ ((p["Q"] @ p["K"].T) * p["Q"].dtype.type(DIM**-0.5))).reshape(n, -1, DIM)
+    ht = np.ascontiguousarray(h.transpose(0, 2, 1))
+    e = np.matmul(q, ht)
+    # only where scores are large the maximum has to go first
+    if e.size and not (e.max() <= 60 and e.min() >= -60):
+        e = np.where(seen > 0, e, -np.inf)
+        e -= e.max(2, keepdims=True)
+        np.exp(e, out=e)
+    else:
+        np.exp(e, out=e)
+        e *= seen
+    part = 1 / np.matmul(e, _ONES.astype(e.dtype)).reshape(-1, 1)
+    r = np.matmul(e, h).reshape(-1, DIM)
+    r *= part
+    y = r @ (p["V"] @ p["O"])
+    y += xq
     f = y @ p["A"]
     f += p["a"]
     np.maximum(f, 0, out=f)
-    return {"x": x, "xq": xq, "q": q, "k": k, "v": v, "w": w, "c": c, "y": y, "f": f, "z": y + f @ p["B"]}
+    z = f @ p["B"]
+    z += y
+    return {"x": x, "ht": ht, "xq": xq, "q": q, "e": e, "part": part, "r": r, "y": y, "f": f, "z": z}
 
 
 _SEEN, _ONES = np.tril(np.ones((WIDTH, WIDTH), np.float32)), np.ones((WIDTH, 1), np.float32)
@@ -110,60 +117,75 @@ def _longest(x: np.ndarray) -> float:
     return float(np.einsum("ij,ij->i", x, x).max(initial=0)) ** 0.5
 
 
-def softmax_nats(logits: np.ndarray, target: np.ndarray, bound: float = np.inf) -> np.ndarray:
-    """-log softmax at the targets; overwrites the logits, none of which is beyond ``bound``, with their exponentials."""
-    hit = logits[np.arange(len(logits)), target]
+def softmax_sums(logits: np.ndarray, target: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """-log softmax at the targets, the targets' flat places and the rows' sums; overwrites the logits, none of which is beyond ``bound``, with their exponentials."""
+    place = np.arange(0, logits.size, logits.shape[1])
+    place += target
+    hit = np.take(logits, place)
     if not bound <= 60:
         top = logits.max(1)
         logits -= top[:, None]
-        hit = hit - top
-    return np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)) - hit
+        hit -= top
+    total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
+    return np.log(total) - hit, place, total
+
 
+def softmax_nats(logits: np.ndarray, target: np.ndarray, bound: float = np.inf) -> np.ndarray:
+    """-log softmax at the targets; overwrites the logits, none of which is beyond ``bound``, with their exponentials."""
+    return softmax_sums(logits, target, bound)[0]
 
-def softmax_gradient(logits: np.ndarray, target: np.ndarray, w: np.ndarray, bound: float) -> float:
-    """Sum of -log softmax at the targets times w; the logits become its gradient."""
-    nats = softmax_nats(logits, target, bound)
-    logits *= (w / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
-    logits[np.arange(len(logits)), target] -= w
-    return float(nats @ w)
 
+def softmax_gradient(logits: np.ndarray, target: np.ndarray, w: np.ndarray, bound: float) -> tuple[float, np.ndarray]:
+    """Sum of -log softmax at the targets times w, and a column; the logits become its gradient once multiplied by that column."""
+    nats, place, total = softmax_sums(logits, target, bound)
+    logits.reshape(-1)[place] -= total
+    return float(nats @ w), (w / total)[:, None]
 
-def with_ones(x: np.ndarray) -> np.ndarray:
-    """One more column, for the biases."""
+
+def with_ones(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The rows in that order, with one more column for the biases."""
     out = np.empty((len(x), x.shape[1] + 1), x.dtype)
-    out[:, :-1], out[:, -1] = x, 1
+    out[:, :-1], out[:, -1] = np.take(x, order, 0, mode="clip"), 1
     return out
 
 
-def by_group(head: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Numbers of the tokens that are in groups, by group; (group, first, end) of each group's."""
+def by_head(head: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, int, list[tuple[int, slice]]]]]:
+    """Numbers of the tokens by class; blocks of up to ``ROWS`` of these: (rows, the first in a group, [(group, its rows)])."""
     head = head.astype(np.uint8, copy=False)  # such keys are sorted in linear time
     count = np.bincount(head, minlength=CLASSES)
-    ends = np.cumsum(count[SINGLES:]).tolist()
-    order = np.argsort(head, kind="stable")[int(count[:SINGLES].sum()) :]
-    return order, [(k, a, z) for k, (a, z) in enumerate(zip([0, *ends], ends)) if z > a]
+    order, begin = np.argsort(head, kind="stable"), int(count[:SINGLES].sum())
+    blocks = [(slice(a, min(a + ROWS, len(order))), min(max(a, begin), a + ROWS, len(order)), []) for a in range(0, len(order), ROWS)]
+    for k, n in enumerate(count[SINGLES:].tolist()):
+        end = begin + n
+        while begin < end:
+            to = min(end, (begin // ROWS + 1) * ROWS)
+            blocks[begin // ROWS][2].append((k, slice(begin, to)))
+            begin = to
+    return order, blocks
 
 
 def output_weights(p: dict[str, np.ndarray], longest: float) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Weights of classes and slots with their biases as a last row, and what no logit is beyond for inputs up to ``longest``."""
     u, s = np.vstack([p["U"], p["u"]]), np.concatenate([p["S"], p["s"][:, None]], 1)
-    size = (longest**2 + 1) ** 0.5
-    return u, s, size * _longest(u.T), size * float(np.einsum("kds,kds->ks", s, s).max()) ** 0.5
+    most_s = float(np.einsum("kds,kds->ks", p["S"], p["S"]).max()) ** 0.5
+    return u, s, longest * _longest(p["U"].T) + float(abs(p["u"]).max()), longest * most_s + float(abs(p["s"]).max())
 
 
 def nats(p: dict[str, np.ndarray], z: np.ndarray, head: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """-log p of the target classes and slots, from last-layer inputs."""
-    out, z1 = np.empty(len(z), z.dtype), with_ones(z)
+    out = np.empty(len(z), z.dtype)
     u, s, most_u, most_s = output_weights(p, _longest(z))
-    for a in range(0, len(z), ROWS):
-        out[a : a + ROWS] = softmax_nats(z1[a : a + ROWS] @ u, head[a : a + ROWS], most_u)
-    order, groups = by_group(head)
-    zs, slot = np.take(z1, order, 0), slot[order]
-    logits = np.empty((len(order), SLOTS), z.dtype)
-    for k, a, b in groups:
-        np.matmul(zs[a:b], s[k], out=logits[a:b])
-    for a in range(0, len(order), ROWS):
-        out[order[a : a + ROWS]] += softmax_nats(logits[a : a + ROWS], slot[a : a + ROWS], most_s)
+    order, blocks = by_head(head)
+    z1, head, slot = with_ones(z, order), head[order], slot[order]
+    d, e = np.empty((ROWS, CLASSES), z.dtype), np.empty((ROWS, SLOTS), z.dtype)
+    for rows, first, groups in blocks:
+        own = np.matmul(z1[rows], u, out=d[: rows.stop - rows.start])
+        bits = softmax_nats(own, head[rows], most_u)
+        for k, r in groups:
+            np.matmul(z1[r], s[k], out=e[r.start - first : r.stop - first])
+        if groups:
+            bits[first - rows.start :] += softmax_nats(e[: rows.stop - first], slot[first : rows.stop], most_s)
+        out[order[rows]] = bits
     return out
 
 
@@ -172,56 +194,91 @@ def loss_and_gradient(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray
 
     Of a part of a batch, ``total`` is how many positions of the batch are on.
     """
-    (n, m), t = head.shape, hidden(p, one, two, at)
-    weight = (on / max(1, on.sum() if total is None else total)).astype(t["z"].dtype).ravel()
-    head, slot, z = head.ravel(), slot.ravel(), t["z"]
+    n, m = head.shape
+    blocks = [slice(a, a + WINDOWS) for a in range(0, n, WINDOWS)]
+    ts = [hidden(p, one[w], two[w], at if isinstance(at, int) else at[w]) for w in blocks]
+    z = np.concatenate([t["z"] for t in ts])
+    weight = np.multiply(on, 1 / max(1, on.sum() if total is None else total), dtype=z.dtype).ravel()
+    loss, dz, g = output_gradient(p, z, head.ravel(), slot.ravel(), weight)
+    dx = np.empty((n * WIDTH, DIM), z.dtype)
+    for w, t in zip(blocks, ts):
+        rows = slice(w.start * m, w.stop * m)
+        for k, v in hidden_gradient(p, t, at if isinstance(at, int) else at[w], m, dz[rows], dx[w.start * WIDTH : w.stop * WIDTH]).items():
+            g[k] = g[k] + v if k in g else v
+    g["P"] = dx.reshape(n, WIDTH * DIM).sum(0).reshape(WIDTH, DIM)
+    twice = np.flatnonzero(two != ZERO)
+    row = one.ravel()
+    if len(twice):
+        row, dx = np.concatenate([row, two.ravel()[twice]]), np.concatenate([dx, dx[twice]])
+    dx = dx.T.astype(float, order="C")
+    g["E"] = np.stack([np.bincount(row, x, BOS + 1) for x in dx], 1).astype(z.dtype)
+    return loss, g
+
 
+def output_gradient(p: dict[str, np.ndarray], z: np.ndarray, head: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
+    """Loss, and its gradient by the last layer's inputs and by the outputs' parameters; logits are made and left ``ROWS`` at a time."""
     u, s, most_u, most_s = output_weights(p, _longest(z))
-    z1, loss, gu, gs, dz = with_ones(z), 0.0, np.zeros_like(u), np.zeros_like(s), np.empty_like(z)
-    for a in range(0, len(z), ROWS):
-        rows = slice(a, a + ROWS)
-        d = z1[rows] @ u
-        loss += softmax_gradient(d, head[rows], weight[rows], most_u)
-        gu += z1[rows].T @ d
-        np.matmul(d, p["U"].T, out=dz[rows])
-    order, groups = by_group(head)
-    zs, slot, weight = np.take(z1, order, 0), slot[order], weight[order]
-    d, dzs = np.empty((len(order), SLOTS), z.dtype), np.empty((len(order), DIM), z.dtype)
-    for k, a, b in groups:
-        np.matmul(zs[a:b], s[k], out=d[a:b])
-    for a in range(0, len(order), ROWS):
-        loss += softmax_gradient(d[a : a + ROWS], slot[a : a + ROWS], weight[a : a + ROWS], most_s)
-    for k, a, b in groups:
-        np.matmul(zs[a:b].T, d[a:b], out=gs[k])
-        np.matmul(d[a:b], p["S"][k].T, out=dzs[a:b])
-    dz[order] += dzs
-    g = {"U": gu[:DIM], "u": gu[DIM], "S": gs[:, :DIM], "s": gs[:, DIM]}
+    ut, st = np.ascontiguousarray(p["U"].T), np.ascontiguousarray(p["S"].transpose(0, 2, 1))
+    order, blocks = by_head(head)
+    z1, head, slot, weight = with_ones(z, order), head[order], slot[order], weight[order]
+    loss, gu, gs, dzs, dz = 0.0, np.zeros_like(u), np.zeros_like(s), np.empty_like(z), np.empty_like(z)
+    d, e, more = np.empty((ROWS, CLASSES), z.dtype), np.empty((ROWS, SLOTS), z.dtype), np.empty((ROWS, DIM), z.dtype)
+    for rows, first, groups in blocks:
+        own = np.matmul(z1[rows], u, out=d[: rows.stop - rows.start])
+        nats, by = softmax_gradient(own, head[rows], weight[rows], most_u)
+        loss += nats
+        gu += (z1[rows] * by).T @ own
+        np.matmul(own, ut, out=dzs[rows])
+        dzs[rows] *= by
+        if not groups:
+            continue
+        for k, r in groups:
+            np.matmul(z1[r], s[k], out=e[r.start - first : r.stop - first])
+        grouped = slice(first, rows.stop)
+        own = e[: rows.stop - first]
+        nats, by = softmax_gradient(own, slot[grouped], weight[grouped], most_s)
+        loss += nats
+        z1[grouped] *= by
+        for k, r in groups:
+            own = e[r.start - first : r.stop - first]
+            gs[k] += z1[r].T @ own
+            np.matmul(own, st[k], out=more[r.start - first : r.stop - first])
+        by = more[: len(by)] * by
+        dzs[grouped] += by
+    dz[order] = dzs
+    return loss, dz, {"U": gu[:DIM], "u": gu[DIM], "S": gs[:, :DIM], "s": gs[:, DIM]}
+
+
+def hidden_gradient(p: dict[str, np.ndarray], t: dict[str, np.ndarray], at: np.ndarray | int, m: int, dz: np.ndarray, dx: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of what ``hidden`` gave as ``t``; ``dx`` becomes that by the inputs."""
+    g, n, scale = {}, len(dx) // WIDTH, dz.dtype.type(DIM**-0.5)
+    h, dh = t["x"].reshape(n, WIDTH, DIM), dx.reshape(n, WIDTH, DIM)
     g["B"] = t["f"].T @ dz
-    df = (dz @ p["B"].T) * (t["f"] > 0)
-    g["A"], g["a"] = t["y"].T @ df, df.sum(0)
-    dy = dz + df @ p["A"].T
-    g["O"] = t["c"].T @ dy
-    dc = (dy @ p["O"].T).reshape(n, m, DIM)
-    dw = np.matmul(dc, t["v"].transpose(0, 2, 1))
-    dv = np.matmul(t["w"].transpose(0, 2, 1), dc).reshape(-1, DIM)
-    dw -= np.einsum("ijk,ijk->ij", dc, t["c"].reshape(n, m, DIM))[:, :, None]  # each row's sum of dw * w
-    ds = np.multiply(dw, t["w"], out=dw)
-    dq = np.matmul(ds, t["k"]).reshape(-1, DIM) * z.dtype.type(DIM**-0.5)
-    dk = np.matmul(ds.transpose(0, 2, 1), t["q"]).reshape(-1, DIM)
-    g["Q"], g["K"], g["V"] = t["xq"].T @ dq, t["x"].T @ dk, t["x"].T @ dv
-    dx = dk @ p["K"].T + dv @ p["V"].T
-    own = dy + dq @ p["Q"].T
+    df = dz @ p["B"].T
+    df *= t["f"] > 0
+    g["A"], g["a"] = t["y"].T @ df, np.ones(len(df), df.dtype) @ df
+    dy = df @ p["A"].T
+    dy += dz
+    go = t["r"].T @ dy
+    g["V"], g["O"] = go @ p["O"].T, p["V"].T @ go
+    dr = dy @ (p["V"] @ p["O"]).T
+    dr *= t["part"]
+    rows = np.einsum("ij,ij->i", dr, t["r"]).reshape(n, m, 1)  # each row's sum of weights times their gradients
+    dr = dr.reshape(n, m, DIM)
+    ds = np.matmul(dr, t["ht"])
+    ds -= rows
+    ds *= t["e"]
+    np.matmul(t["e"].transpose(0, 2, 1), dr, out=dh)
+    dh += np.matmul(ds.transpose(0, 2, 1), t["q"])
+    dq = np.matmul(ds, h).reshape(-1, DIM)
+    gq = (t["xq"].T @ dq) * scale
+    g["Q"], g["K"] = gq @ p["K"], gq.T @ p["Q"]
+    dy += dq @ ((p["Q"] @ p["K"].T).T * scale)
     if isinstance(at, int):
-        dx.reshape(n, WIDTH, DIM)[:, at:] += own.reshape(n, m, DIM)
+        dh[:, at:] += dy.reshape(n, m, DIM)
     else:
-        dx[(np.arange(n)[:, None] * WIDTH + at).ravel()] += own  # a window's positions differ
-    g["P"] = dx.reshape(n, WIDTH, DIM).sum(0)
-    twice = np.flatnonzero((two != ZERO).ravel())
-    row, dx = np.concatenate([one.ravel(), two.ravel()[twice]]), np.concatenate([dx, dx[twice]]).T.astype(float, order="C")
-    g["E"] = np.empty((BOS + 1, DIM), z.dtype)
-    for i, x in enumerate(dx):
-        g["E"][:, i] = np.bincount(row, x, BOS + 1)
-    return loss, g
+        dx[(np.arange(n)[:, None] * WIDTH + at).ravel()] += dy  # a window's positions differ
+    return g
 
 
 def train(x: np.ndarray, c: Codes, windows: np.ndarray, seed: int) -> np.ndarray:
@@ -246,7 +303,7 @@ def train(x: np.ndarray, c: Codes, windows: np.ndarray, seed: int) -> np.ndarray
         g_[:] = 0
         for part in np.array_split(w, -(-len(w) * EACH // BATCH)):
             before, target = part[:, :-1], part[:, 1:]
-            _, g = loss_and_gradient(p, c.one[before], c.two[before], 0, c.head[target].astype(np.int64), c.slot[target].astype(np.int64), target != END, total)
+            _, g = loss_and_gradient(p, c.one[before], c.two[before], 0, c.head[target], c.slot[target], target != END, total)
             g_ += np.concatenate([g[k].ravel() for k in SHAPES], out=t_)
         rate = np.float32(RATE * (1 - 0.9 * step / steps))
         fix1, fix2 = np.float32(1 / (1 - 0.9 ** (step + 1))), np.float32(1 / (1 - 0.99 ** (step + 1)))
@@ -333,9 +390,9 @@ def score_documents(p: dict[str, np.ndarray], c: Codes, ids: np.ndarray, lens: n
         pos = np.arange(skip, WIDTH)
         for a in range(0, len(own), 768):
             s = own[a : a + 768]
-            w = gathered(ids, start[s], held[s], begin[doc[s]]).astype(np.int64)
-            z = hidden(p, c.one[w[:, :-1]], c.two[w[:, :-1]], skip)["z"]
-            target = w[:, 1 + skip :]
+            w = gathered(ids, start[s], held[s], begin[doc[s]])
+            one, two, target = c.one[w[:, :-1]], c.two[w[:, :-1]], w[:, 1 + skip :]
+            z = np.concatenate([hidden(p, one[i : i + WINDOWS], two[i : i + WINDOWS], skip)["z"] for i in range(0, len(s), WINDOWS)])
             bits = nats(p, z, c.head[target].ravel(), c.slot[target].ravel()).reshape(target.shape)
             bits *= np.float32(1 / np.log(2))
             bits += c.bits[target]

@@ -198,3 +198,31 @@ def test_loss_and_gradient_of_large_logits():
         nats[k] += np.logaddexp.reduce(y) - y[slot[k]]
     assert np.isclose(loss, nats.mean()) and np.allclose(lm.nats(p, z, head.astype(np.uint8), slot), nats)
     assert all(np.isfinite(v).all() for v in g.values())
+
+
+def test_biases_alone_need_no_maximum_first():
+    """Frequent and unused slots have biases far apart, which took every batch of slots through two more passes."""
+    c = some_codes(np.random.default_rng(10))  # most slots have no id
+    p = lm.initial() | {"u": c.head_bias, "s": c.slot_bias}
+    z = np.random.default_rng(11).standard_normal((200, lm.DIM)).astype(np.float32)
+    u, s, most_u, most_s = lm.output_weights(p, lm._longest(z))
+    logits = z @ p["U"] + p["u"], np.einsum("nd,kds->kns", z, p["S"]) + p["s"][:, None]
+    assert abs(logits[0]).max() <= most_u * 1.0001 <= 60 and abs(logits[1]).max() <= most_s * 1.0001 <= 60
+
+
+def test_attention_equals_its_parts():
+    """Of products of Q and K, and of V and O, the forward pass makes what each of the four makes alone; its blocks give whole gradients."""
+    rng = np.random.default_rng(12)
+    c = some_codes(rng, 5000)
+    p = {k: v.astype(np.float64) for k, v in lm.initial(2).items()}
+    one, two, _, head, slot, on = args = a_part(c, rng, 2 * lm.WINDOWS + 3)
+    h = p["E"][one] + p["E"][two] + p["P"]
+    w = np.where(np.tri(lm.WIDTH) > 0, (h @ p["Q"]) @ (h @ p["K"]).transpose(0, 2, 1) * lm.DIM**-0.5, -np.inf)
+    w = np.exp(w - w.max(2, keepdims=True))
+    y = h + (w / w.sum(2, keepdims=True)) @ (h @ p["V"]) @ p["O"]
+    z = y + np.maximum(y @ p["A"] + p["a"], 0) @ p["B"]
+    assert np.allclose(lm.hidden(p, one, two)["z"], z.reshape(-1, lm.DIM))
+    loss, g = lm.loss_and_gradient(p, *args)
+    parts = [lm.loss_and_gradient(p, *(x if isinstance(x, int) else x[k : k + 50] for x in args), on.sum()) for k in range(0, len(one), 50)]
+    assert np.isclose(loss, sum(x for x, _ in parts))
+    assert all(np.allclose(g[k], sum(x[k] for _, x in parts), atol=1e-12) for k in lm.SHAPES)
