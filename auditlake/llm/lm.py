@@ -89,27 +89,32 @@ def hidden(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, at: np.nd
     ht = np.ascontiguousarray(h.transpose(0, 2, 1))
     e = np.matmul(q, ht)
     # only where scores are large the maximum has to go first
-    if e.size and not (e.max() <= 60 and e.min() >= -60):
+    if not within(e, 30):
         e = np.where(seen > 0, e, -np.inf)
         e -= e.max(2, keepdims=True)
         np.exp(e, out=e)
     else:
         np.exp(e, out=e)
         e *= seen
-    part = 1 / np.matmul(e, _ONES.astype(e.dtype)).reshape(-1, 1)
+    part = np.matmul(e, _ONES.astype(e.dtype)).reshape(-1, DIM)
+    np.divide(1, part, out=part)
     r = np.matmul(e, h).reshape(-1, DIM)
     r *= part
     y = r @ (p["V"] @ p["O"])
     y += xq
     f = y @ p["A"]
-    f += p["a"]
+    f.reshape(n, -1)[:] += np.tile(p["a"], q.shape[1])
     np.maximum(f, 0, out=f)
     z = f @ p["B"]
     z += y
     return {"x": x, "ht": ht, "xq": xq, "q": q, "e": e, "part": part, "r": r, "y": y, "f": f, "z": z}
 
 
-_SEEN, _ONES = np.tril(np.ones((WIDTH, WIDTH), np.float32)), np.ones((WIDTH, 1), np.float32)
+_SEEN, _ONES = np.tril(np.ones((WIDTH, WIDTH), np.float32)), np.ones((WIDTH, DIM), np.float32)
+
+
+def within(x: np.ndarray, most: float) -> bool:
+    return not x.size or bool(x.max() <= most and x.min() >= -most)
 
 
 def _longest(x: np.ndarray) -> float:
@@ -122,7 +127,7 @@ def softmax_sums(logits: np.ndarray, target: np.ndarray, bound: float) -> tuple[
     place = np.arange(0, logits.size, logits.shape[1])
     place += target
     hit = np.take(logits, place)
-    if not bound <= 60:
+    if not bound <= 60 and not within(logits, 60):
         top = logits.max(1)
         logits -= top[:, None]
         hit -= top
@@ -211,7 +216,10 @@ def loss_and_gradient(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray
     if len(twice):
         row, dx = np.concatenate([row, two.ravel()[twice]]), np.concatenate([dx, dx[twice]])
     dx = dx.T.astype(float, order="C")
-    g["E"] = np.stack([np.bincount(row, x, BOS + 1) for x in dx], 1).astype(z.dtype)
+    g["E"] = np.empty((DIM, BOS + 1), z.dtype)
+    for i, x in enumerate(dx):
+        g["E"][i] = np.bincount(row, x, BOS + 1)
+    g["E"] = g["E"].T
     return loss, g
 
 

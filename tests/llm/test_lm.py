@@ -226,3 +226,13 @@ def test_attention_equals_its_parts():
     parts = [lm.loss_and_gradient(p, *(x if isinstance(x, int) else x[k : k + 50] for x in args), on.sum()) for k in range(0, len(one), 50)]
     assert np.isclose(loss, sum(x for x, _ in parts))
     assert all(np.allclose(g[k], sum(x[k] for _, x in parts), atol=1e-12) for k in lm.SHAPES)
+
+
+def test_gradient_keeps_its_precision_where_scores_are_large():
+    rng = np.random.default_rng(13)
+    args = a_part(some_codes(rng, 5000), rng, 20)
+    for by in (1, 8, 20, 60):
+        p = {k: v * np.float32(by**0.5 if k in "QK" else 1) for k, v in lm.initial(2).items()}
+        _, g = lm.loss_and_gradient(p, *args)
+        _, exact = lm.loss_and_gradient({k: v.astype(np.float64) for k, v in p.items()}, *args)
+        assert all(abs(g[k] - exact[k]).max() < 1e-4 * abs(exact[k]).max() for k in lm.SHAPES)
