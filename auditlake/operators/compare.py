@@ -104,8 +104,15 @@ def changed_files(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def islands(rows: DataFrame, key: str = "file", line: str = "line") -> DataFrame:
-    """(key, first, last) of runs of consecutive lines."""
+    """(key, first, last) of runs of consecutive lines; null lines are a run of their own.
+
+    One shuffle and one sort serve all windows, and nothing is hashed: a task holds its sorted rows, which Spark spills.
+    """
     from pyspark.sql import Window
 
-    d = rows.select(key, line).distinct().withColumn("i", F.col(line) - F.row_number().over(Window.partitionBy(key).orderBy(line)))
-    return d.groupBy(key, "i").agg(F.min(line).alias("first"), F.max(line).alias("last")).drop("i")
+    w, x = Window.partitionBy(key).orderBy(line), F.col(line)
+    d = rows.select(key, line).withColumns({"prev": F.lag(line).over(w), "any": F.lag(F.lit(True)).over(w)})
+    d = d.where(F.col("any").isNull() | ~F.equal_null("prev", line)).drop("any").withColumn("next", F.lead(line).over(w))
+    begins, ends = F.col("prev").isNull() | (F.col("prev") < x - 1), F.col("next").isNull() | x.isNull() | (x < F.col("next") - 1)
+    d = d.select(key, line, begins.alias("begins"), ends.alias("ends")).where("begins OR ends").withColumn("next", F.lead(line).over(w))
+    return d.where("begins").select(key, x.alias("first"), F.when(F.col("ends"), x).otherwise(F.col("next")).alias("last"))
