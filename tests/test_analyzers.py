@@ -52,6 +52,15 @@ def test_doc_items_imports_names(files):
     assert summary.total_public == summary.documented + summary.undocumented and 0 < summary.coverage_pct < 100
 
 
+def test_python_holds_few_files(spark):
+    big = F.when(F.col("id") < 10000, "x").otherwise(F.repeat(F.lit("let ж\n"), 17000))  # the small ones fill an Arrow batch
+    files = spark.range(0, 12000, 1, 1).select(F.concat(F.col("id").cast("string"), F.lit(".rs")).alias("file"), big.alias("source"))
+    mb = lambda: int(open("/proc/self/statm").read().split()[1]) >> 8  # noqa: E731, SIM115
+    got = code._relation(files, "id bigint, n bigint, mb bigint", lambda f, s, g: [(int(f[:-3]), len(s), mb())])
+    got = got.agg(F.count_distinct("id").alias("files"), F.sum("n").alias("n"), (F.max("mb") - F.min_by("mb", "id")).alias("more")).head()
+    assert (got.files, got.n) == (12000, 10000 + 2000 * 102000) and got.more < 45  # MB of the worker: a hundred files take 28, an Arrow batch took 65
+
+
 def test_taint(files):
     got = rows(an.taint(files), "file", "variable", "violation_type", "severity")
     assert got == [("app/store.rs", "secret_value", "PRINT_LEAK", "high"), ("srv/main.go", "authToken", "LOG_LEAK", "high"), ("tool/job.py", "password", "PRINT_LEAK", "high"), ("web/page.js", "token", "LOG_LEAK", "high")]
