@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.files import rows_of_files
 from auditlake.functions.lines import any_contains, extension, has, line_array, lines_in_context, occurrences, starts, strip
 from auditlake.functions.scalars import byte_entropy, halstead_tokens, is_operator, keep_right
 from auditlake.operators import rules
@@ -363,17 +363,11 @@ def taint_rows(files: DataFrame) -> DataFrame:
     d = files.select("file", extension(F.col("file")).alias("ext"), "source").where(F.col("ext").isin(list(TAINT_LANGUAGE)))
     d = d.where(any_contains(F.lower("source"), SENSITIVE) | any_contains(F.col("source"), ("@sensitive", "Secret::", "#[sensitive")))
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for file, ext, source in zip(b["file"], b["ext"], b["source"]):
-                found, n = taint_of(file, source, TAINT_LANGUAGE[ext])
-                rows += [(*r, None) for r in found] + [(file, None, None, None, None, None, n)]
-            out = pd.DataFrame(rows, columns=["file", "line", "variable", "violation_type", "severity", "context", "n_sensitive"])
-            out["line"], out["n_sensitive"] = out["line"].astype("Int64"), out["n_sensitive"].astype("Int64")
-            yield out
-
-    return d.mapInPandas(run, TAINT_ROW)
+    def rows(file, ext, source):
+        found, n = taint_of(file, source, TAINT_LANGUAGE[ext])
+        return [(*r, None) for r in found] + [(file, None, None, None, None, None, n)]
+
+    return rows_of_files(d, TAINT_ROW, rows, "file", "ext", "source")
 
 
 def taint(files: DataFrame, min_severity: str = "low") -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.files import rows_of_files
 from auditlake.functions.lines import extension, has, occurrences
 from auditlake.functions.scalars import crap, crap_band, risk, risk_band
 
@@ -218,13 +218,8 @@ def structs_of(source: str) -> list[tuple[str, int, list[tuple[str, list[str]]]]
 def cohesion(files: DataFrame) -> DataFrame:
     """(file, name, line, lcom4, fields_accessed, methods) of Rust structs with at least two methods."""
     d = files.where((extension(F.col("file")) == "rs") & has(F.col("source"), "struct ")).select("file", "source")
-
-    def run(batches):
-        for b in batches:
-            rows = [(f, n, at, lcom4(ms), len({x for _, fs in ms for x in fs}), len(ms)) for f, s in zip(b["file"], b["source"]) for n, at, ms in structs_of(s)]
-            yield pd.DataFrame(rows, columns=["file", "name", "line", "lcom4", "fields_accessed", "methods"])
-
-    return d.mapInPandas(run, "file string, name string, line bigint, lcom4 bigint, fields_accessed bigint, methods bigint")
+    rows = lambda f, s: [(f, n, at, lcom4(ms), len({x for _, fs in ms for x in fs}), len(ms)) for n, at, ms in structs_of(s)]
+    return rows_of_files(d, "file string, name string, line bigint, lcom4 bigint, fields_accessed bigint, methods bigint", rows, "file", "source")
 
 
 def cohesion_summary(structs: DataFrame, most: int = 2) -> DataFrame:
@@ -299,12 +294,7 @@ TESTED = "rs py js mjs ts tsx go".split()
 
 def tests(files: DataFrame) -> DataFrame:
     d = files.select("file", extension(F.col("file")).alias("ext"), "source").where(F.col("ext").isin(TESTED))
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([r for f, e, s in zip(b["file"], b["ext"], b["source"]) for r in tests_of(f, s, e)], columns=["kind", "name", "file", "line", "framework", "unit", "names"])
-
-    return d.mapInPandas(run, "kind string, name string, file string, line bigint, framework string, unit boolean, names array<string>")
+    return rows_of_files(d, "kind string, name string, file string, line bigint, framework string, unit boolean, names array<string>", tests_of, "file", "source", "ext")
 
 
 def property_tests(t: DataFrame) -> DataFrame:

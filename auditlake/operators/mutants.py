@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.files import rows_of_files
 from auditlake.functions.lines import extension, lines_in_context, occurrences
 from auditlake.functions.lineage import cut
 
@@ -84,12 +84,7 @@ def ranges_of(source: str) -> list[tuple[str, int, int]]:
 
 def function_ranges(files: DataFrame) -> DataFrame:
     d = files.where(extension(F.col("file")) == "rs").select("file", "source")
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([(f, *r) for f, s in zip(b["file"], b["source"]) for r in ranges_of(s)], columns=["file", "name", "first", "last"])
-
-    return d.mapInPandas(run, "file string, name string, first bigint, last bigint")
+    return rows_of_files(d, "file string, name string, first bigint, last bigint", lambda f, s: [(f, *r) for r in ranges_of(s)], "file", "source")
 
 
 def changed_functions(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
